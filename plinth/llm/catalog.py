@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from plinth.llm import quality_rules as _quality_rules
+from plinth.llm import decontamination, quality_rules, sharding, simhash_golay, url_filter
 
 
 def queries() -> dict:
     return {
-        "op9_quality_rules": _quality_rules.op9_quality_rules,
+        "op4_simhash_golay": simhash_golay.op4_simhash_golay,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op7_sharding": sharding.op7_sharding,
+        "op8_decontamination": decontamination.op8_decontamination,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": url_filter.ORACLE,
+        "op8_decontamination": decontamination.ORACLE,
+    }
