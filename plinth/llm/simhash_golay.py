@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm._base import Scratch, table
+from plinth.llm._base import Scratch, table, text_key
 from plinth.llm.graph import connected_components
 
 #: Lowest bit and length of each segment.
@@ -56,15 +56,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp of every row."""
+    """doc_id, _key (of the text) and fp of every row."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t, shingle) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [fingerprint(t, shingle) for t in b["text"]]})
 
     # ids travel as text, so that nulls do not turn them into floats
-    d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return d.mapInPandas(each, "doc_id string, fp long").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "fp")
+    d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
+    out = d.mapInPandas(each, "doc_id string, _key long, fp long")
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_key", "fp")
 
 
 @cache
@@ -153,17 +154,18 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id that can be reached over links."""
+    """doc_id, _key, fp, component (its least fingerprint) and component_id (its least doc_id) of every row."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.table(fingerprints(docs, shingle))
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = scratch.table(links(reps, scratch))
     scratch.release()
     parts = connected_components(found, scratch)
-    names = reps.join(parts.withColumnRenamed("node", "fp"), "fp").groupBy("component").agg(F.min("rep").alias("name"))
-    named = parts.join(names, "component").select(F.col("node").alias("fp"), "name")
-    whole = scratch.table(reps.join(named, "fp", "left").select("fp", F.coalesce("name", "rep").alias("component_id")))
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    whole = scratch.table(whole)
+    names = scratch.table(whole.groupBy("component").agg(F.min("rep").alias("component_id")))
+    whole = scratch.table(whole.join(names, "component").select("fp", "component", "component_id"))
+    return fps.join(whole, "fp").select("doc_id", "_key", "fp", "component", "component_id")
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
