@@ -1,11 +1,14 @@
-"""Registry of the engine's queries and of their SQL."""
+"""The engine's queries and their SQL."""
 
 from __future__ import annotations
 
+from plinth.plans import documents, judgments, pages, retrieval  # noqa: F401  they register their queries
+from plinth.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
