@@ -48,10 +48,10 @@ def bm25(claims: DataFrame, passages: DataFrame, scope: str, k1: float = K1, b:
     )
     asked = claims.select(scope, "claim_id", F.explode(T.tokens(F.col("claim_text"))).alias("term"))
     asked = asked.groupBy(scope, "claim_id", "term").agg(F.count("*").alias("qf"))
-    scores = asked.join(weights, [scope, "term"]).groupBy(scope, "claim_id", "passage_id").agg(F.sum(F.col("qf") * F.col("w")).alias("s"))
+    scores = asked.join(weights, [scope, "term"]).groupBy(scope, "claim_id", "passage_id").agg(F.sum(F.col("qf") * F.col("w")).alias("_score"))
     pool = claims.select(scope, "claim_id").join(passages.select(scope, "passage_id", "ord"), scope)
     return pool.join(scores, [scope, "claim_id", "passage_id"], "left").select(
-        scope, "claim_id", "passage_id", "ord", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score")
+        scope, "claim_id", "passage_id", "ord", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("score")
     )
 
 
