@@ -60,7 +60,8 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
             for w, n in words.items():
                 for g in grams_of(w, order):
                     grams[g] += n
-            yield pd.DataFrame({"gram": [g for g, _ in grams], "k": [k for _, k in grams], "c": list(grams.values())})
+            if grams:  # Arrow does not take a frame without rows
+                yield pd.DataFrame({"gram": [g for g, _ in grams], "k": [k for _, k in grams], "c": list(grams.values())})
 
     return texts.select("text").mapInPandas(each, "gram string, k int, c long").groupBy("gram", "k").agg(F.sum("c").alias("c"))
 

@@ -20,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -113,7 +114,8 @@ def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]
         for b in batches:
             for text in b["text"]:
                 seen.update(words.intersection(words_of(text)))
-        yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+        if seen:  # Arrow does not take a frame without rows
+            yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
 
     rows = docs.select("text").mapInPandas(each, "word string, n long").groupBy("word").agg(F.sum("n")).collect()
     return {w.encode(): n for w, n in rows}
@@ -185,7 +187,7 @@ def scan_licenses(
                 every = sorted({*own, *(label for label, _, _ in found)})
                 score = max((s for _, _, s in found), default=0.5 if base else 0.0)
                 first, last = (min(base)[0], max(base)[0]) if base else (None, None)
-                spans = [{"label": x, "start": s, "share": y} for x, s, y in found]
+                spans = json.dumps([{"label": x, "start": s, "share": y} for x, s, y in found])
                 rows.append((doc_id, len(words), len(base), first, last, ",".join(own), ",".join(every), score, spans))
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
@@ -195,8 +197,9 @@ def scan_licenses(
     out = d.mapInPandas(
         each,
         "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-        "score double, notices array<struct<label: string, start: long, share: double>>",
+        "score double, notices string",
     )
+    out = out.withColumn("notices", F.from_json("notices", "array<struct<label: string, start: long, share: double>>"))
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
