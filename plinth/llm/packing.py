@@ -4,9 +4,9 @@ Documents become tokens and an end mark; those longer than a sequence are cut.
 Lengths are counted: at most one row for each length, whatever the corpus, goes
 to the driver.  There, patterns of two or three lengths that fill a sequence
 exactly are enumerated; non-negative least squares fits how often each is used
-to the counts; the repeats are rounded so that no length is used up twice; and
-what remains is packed best-fit decreasing, length by length.  The plan is a
-list of (lengths of one sequence, repeats).
+to the counts; the repeats, or a share of them, are rounded so that no length is
+used up twice; and what remains is packed best-fit decreasing, length by length.
+The plan is a list of (lengths of one sequence, repeats).
 
 Pieces of equal length are alike, so a piece needs only its rank among those of
 its length to find its place in the plan.  Ranks come from counts by length and
@@ -152,26 +152,37 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[tuple[i
     return [x for left in free for x in room[left]]
 
 
-def plan(counts: np.ndarray, capacity: int, stride: int = 61) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of the sequences; counts[n] is the number of pieces of length n."""
-    left = counts.astype(np.int64).copy()
-    out = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+def plan(counts: np.ndarray, capacity: int, stride: int = 61, shares: tuple[float, ...] = (1.0, 0.5, 0.25, 0.1)) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) of the sequences; counts[n] is the number of pieces of length n.
+
+    Exact patterns leave little room for what the fit misses.  So the fit is
+    rounded at several shares of its repeats, the residual of each is packed, and
+    the plan of fewest sequences is taken; where the fit is good that is the
+    whole fit.
+    """
     index = patterns(capacity, stride)
-    fit = nonnegative_least_squares(index, left)
-    for k in np.argsort(-fit, kind="stable"):
-        lengths = tuple(int(n) for n in index[k] if n)
-        wanted = int(fit[k] + 0.5)
-        if not wanted:
-            break
-        repeats = min(wanted, *(int(left[n]) // lengths.count(n) for n in lengths))
-        if repeats:
-            out.append((lengths, repeats))
-            for n in lengths:
-                left[n] -= repeats
-    return out + best_fit_decreasing(left, capacity)
+    full = int(counts[capacity])
+    rest = counts.astype(np.int64).copy()
+    rest[capacity] = 0
+    fit = nonnegative_least_squares(index, rest)
+    order = np.argsort(-fit, kind="stable")
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for share in shares:
+        left, out = rest.copy(), []
+        for k in order:
+            lengths = tuple(int(n) for n in index[k] if n)
+            wanted = int(fit[k] * share + 0.5)
+            if not wanted:
+                break
+            repeats = min(wanted, *(int(left[n]) // lengths.count(n) for n in lengths))
+            if repeats:
+                out.append((lengths, repeats))
+                for n in lengths:
+                    left[n] -= repeats
+        out += best_fit_decreasing(left, capacity)
+        if best is None or sum(many for _, many in out) < sum(many for _, many in best):
+            best = out
+    return [((capacity,), full), *best] if full else best
 
 
 def places(sequences: list[tuple[tuple[int, ...], int]], capacity: int) -> np.ndarray:
