@@ -14,7 +14,10 @@ tenth of the places.
 Windows are compared by 96 bits of hash from two polynomials over the words'
 XXH64.  Counting combines before the shuffle; the counts are written before they
 are joined back, so that adaptive execution can split a window that a third of
-all rows share.  Documents go by 96 bits of (doc_id, text).
+all rows share.  Texts go by 96 bits of hash.  After the first level, of equal
+texts only that of the least doc_id is read, with its weight; all words of such
+texts go, so their starts are not carried to the copies, and the join that tells
+the copies is salted.
 
 Edge cases: null and empty texts have no words, are left as they are and hash as
 the empty text.  Texts of fewer words than a window lose nothing.  Repeated rows
@@ -25,20 +28,22 @@ Empty tables give no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm._base import Scratch, table
 
 #: Odd multipliers of the two polynomials.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-ROW = "k1 long, k2 int, pos int, ha long, hb int"
+ROW = "k1 long, k2 int, pos int, ha long, hb int, weight int"
+SALTS = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -98,26 +103,37 @@ def levels(length: int, shortest: int) -> list[int]:
 
 
 def _keyed(docs: DataFrame, *names: str) -> DataFrame:
-    """text, the identity of doc_id and text, and the columns named, in a struct, so that no names clash."""
-    keys = F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", "text").alias("k2")
-    return docs.select("text", *keys, *([F.struct(*names).alias("own")] if names else []))
+    """text, its identity, doc, the doc_id, and the columns named, in a struct, so that no names clash."""
+    keys = F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")
+    return docs.select("text", *keys, F.col("doc_id").alias("doc"), *([F.struct(*names).alias("own")] if names else []))
+
+
+def _salt(id: str) -> Column:
+    return F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int")
 
 
 def _rows(docs: DataFrame, width: int, starts: Callable[[np.ndarray, np.ndarray | None], np.ndarray]) -> DataFrame:
-    """A row for the window at each of the starts that the function picks from a document's hashes and its column at."""
+    """A row for the window at each of the starts that the function picks from a text's hashes and its column at."""
     has = "at" in docs.columns
+    docs = docs.select("k1", "k2", "text", *(["at", "weight"] if has else []))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts: list[list[np.ndarray]] = []
             held = 0
-            for k1, k2, text, at in zip(b["k1"], b["k2"], b["text"], b["at"] if has else [None] * len(b), strict=True):
+            ats, weights = (b["at"], b["weight"]) if has else ([None] * len(b), [1] * len(b))
+            copies = Counter(zip(b["k1"], b["k2"], strict=True))
+            for k1, k2, text, at, weight in zip(b["k1"], b["k2"], b["text"], ats, weights, strict=True):
+                weight *= copies.pop((k1, k2), 0)
+                if not weight:  # counted with the first copy in the batch
+                    continue
                 h = word_hashes(words_of(text))
                 pos = starts(h, at)
                 if len(pos):
                     ha = window_hashes(h, width, FACTORS[0])[pos].view(np.int64)
                     hb = (window_hashes(h, width, FACTORS[1])[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    parts.append([np.full(len(pos), k1, np.int64), np.full(len(pos), k2, np.int32), pos.astype(np.int32), ha, hb])
+                    own = [np.full(len(pos), x, kind) for x, kind in ((k1, np.int64), (k2, np.int32), (weight, np.int32))]
+                    parts.append([own[0], own[1], pos.astype(np.int32), ha, hb, own[2]])
                     held += len(pos)
                 if held > 500_000:
                     yield frame(parts)
@@ -126,17 +142,18 @@ def _rows(docs: DataFrame, width: int, starts: Callable[[np.ndarray, np.ndarray
                 yield frame(parts)
 
     def frame(parts: list[list[np.ndarray]]) -> pd.DataFrame:
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("k1", "k2", "pos", "ha", "hb"), zip(*parts, strict=True), strict=True)})
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("k1", "k2", "pos", "ha", "hb", "weight"), zip(*parts, strict=True), strict=True)})
 
     return docs.mapInPandas(each, ROW)
 
 
 def _repeated(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """k1, k2 and at, the sorted starts of a document's windows that occur twice or more."""
+    """k1, k2 and at, the sorted starts of a text's windows that occur twice or more."""
     rows = scratch.table(rows)
-    twice = scratch.table(rows.groupBy("ha", "hb").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     scratch.release()
-    # rows that are repeated themselves name the same starts once more
+    twice = scratch.table(rows.groupBy("ha", "hb").agg(F.sum("weight").alias("n")).where("n > 1").drop("n"))
+    scratch.release()
+    # texts that are read several times name the same starts once more
     out = rows.join(twice, ["ha", "hb"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     out = scratch.table(out)
     scratch.drop(rows, twice)
@@ -145,11 +162,20 @@ def _repeated(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int, shortest: int, scratch: Scratch) -> DataFrame:
-    """k1, k2, at: the starts of the windows that occur anywhere else."""
+    """k1, k2, rep (the least doc_id that has the text), copies, at: the starts of the windows that occur anywhere else."""
     widths = levels(length, shortest)
     texts = _keyed(docs)
+    groups = scratch.table(texts.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
+
+    def first_copies(found: DataFrame) -> DataFrame:
+        """The texts found, each where its least doc_id is: other copies have other keys, so none is hot."""
+        f = found.join(groups, ["k1", "k2"]).withColumn("weight", F.least("copies", F.lit(2)).cast("int"))
+        f = f.withColumnsRenamed({"k1": "f1", "k2": "f2"})
+        return texts.join(f, (texts["k1"] == f["f1"]) & (texts["k2"] == f["f2"]) & texts["doc"].eqNullSafe(f["rep"]))
+
     if len(widths) == 1:
-        return _repeated(_rows(texts, length, lambda h, at: np.arange(max(0, len(h) - length + 1))), scratch)
+        found = _repeated(_rows(texts, length, lambda h, at: np.arange(max(0, len(h) - length + 1))), scratch)
+        return found.join(groups, ["k1", "k2"])
     first, second = widths[:2]
     span = second - first + 1
 
@@ -168,10 +194,10 @@ def repeated_windows(docs: DataFrame, length: int, shortest: int, scratch: Scrat
 
         if found.isEmpty():
             break
-        now = _repeated(_rows(texts.join(found, ["k1", "k2"]), width, extended), scratch)
+        now = _repeated(_rows(first_copies(found), width, extended), scratch)
         scratch.drop(found)
         found = now
-    return found
+    return found.join(groups, ["k1", "k2"])
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 35, shortest: int = 18, with_columns: bool = False) -> DataFrame:
@@ -185,17 +211,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 35, shortest: int = 18, wit
     found = repeated_windows(docs, length, shortest, scratch)
     names = [c for c in docs.columns if c != "text"] if with_columns else ["doc_id"]
     # other columns cross to Python and back as one JSON text, whatever their types and names
-    own = _keyed(docs, *names)
-    kind = own.schema["own"].dataType
-    marked = own.join(found, ["k1", "k2"], "left").select(F.to_json("own", {"ignoreNullFields": "true"}).alias("own"), "text", "at")
+    keyed = _keyed(docs, *names).withColumn("salt", _salt("doc"))
+    kind = keyed.schema["own"].dataType
+    many = F.col("copies") > 1
+    salts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(_salt("rep")))
+    found = found.select("k1", "k2", F.when(~many, F.col("at")).alias("at"), many.alias("whole"), F.explode(salts).alias("salt"))
+    marked = keyed.join(found, ["k1", "k2", "salt"], "left").select(
+        F.to_json("own", {"ignoreNullFields": "true"}).alias("own"), "text", "at", F.coalesce("whole", F.lit(False)).alias("whole")
+    )
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for own, text, at in zip(b["own"], b["text"], b["at"], strict=True):
+            for own, text, at, whole in zip(b["own"], b["text"], b["at"], b["whole"], strict=True):
                 words = words_of(text)
                 kept, n = words, 0
-                if at is not None:
+                if whole:
+                    kept, n = [], len(words)
+                elif at is not None:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)
