@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.plans import documents, judgments, pages, retrieval  # noqa: F401  they register their queries
+from plinth.plans import documents, fields, judgments, pages, retrieval  # noqa: F401  they register their queries
 from plinth.plans.registry import QUERIES, SQL
 
 
