@@ -34,36 +34,40 @@ from plinth.llm._base import Scratch, is_at_most, plain_words, table
 
 #: Noncharacters that no text should hold.
 START, STOP = "﷐", "﷑"
+#: What separates words: the characters that ``bytes.split`` splits at.
+SPACES = " \t\n\v\f\r"
 REMEMBERED = 1 << 19
 FITS, HELD_OUT = 1, 2
 #: Log-probabilities are whole micro-units, so that sums do not depend on their order.
 MICRO = 1_000_000
 
 
-def grams_of(word: str, order: int) -> Iterator[tuple[str, int]]:
-    """Each gram of a word that ends in a predicted symbol, and its length."""
+def windows(word: str, order: int) -> list[str]:
+    """For each predicted symbol of a word, it and the ``order - 1`` before it, or as many as there are."""
     s = START + word + STOP
-    for i in range(1, len(s)):
-        for k in range(1, min(order, i + 1) + 1):
-            yield s[i - k + 1 : i + 1], k
+    return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """gram, k (its length) and c (how often it occurs) over the column text."""
+    """gram and c: how often each window occurs over the column text.
+
+    Shorter grams need no counting: what the model wants of them is how many
+    kinds of longer ones end in them.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words: Counter = Counter()
             for text in b["text"]:
-                words.update(w.decode() for w in (text or "").encode().split())
+                words.update((text or "").encode().split())
             grams: Counter = Counter()
             for w, n in words.items():
-                for g in grams_of(w, order):
+                for g in windows(w.decode(), order):
                     grams[g] += n
             if grams:  # Arrow does not take a frame without rows
-                yield pd.DataFrame({"gram": [g for g, _ in grams], "k": [k for _, k in grams], "c": list(grams.values())})
+                yield pd.DataFrame({"gram": list(grams), "c": list(grams.values())})
 
-    return texts.select("text").mapInPandas(each, "gram string, k int, c long").groupBy("gram", "k").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInPandas(each, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(sizes: dict[int, int]) -> tuple[float, float, float]:
@@ -80,11 +84,15 @@ def discounts(sizes: dict[int, int]) -> tuple[float, float, float]:
 def build(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     """gram, lp (log-probability of its last symbol after the others) and lb (log-weight of what is shorter, where the gram
     is a context); either may be null.  The empty gram's lp is that of an unknown symbol."""
-    longer = counts.where("k > 1").select(F.substr("gram", F.lit(2)).alias("gram"), (F.col("k") - 1).alias("k"))
-    spread = longer.groupBy("gram", "k").agg(F.count("*").alias("kinds"))
-    fixed = (F.col("k") == order) | F.col("gram").startswith(START)
-    used = counts.join(spread, ["gram", "k"], "left").select("gram", "k", F.when(fixed, F.col("c")).otherwise(F.col("kinds")).alias("a"))
-    used = scratch.table(used.withColumn("ctx", F.substr("gram", F.lit(1), F.col("k") - 1)))
+    counts = counts.withColumn("k", F.length("gram"))
+    used = level = scratch.table(counts.where(F.col("k") == order).select("gram", "k", F.col("c").alias("a")))
+    for k in range(order - 1, 0, -1):
+        # grams at a word's start keep their counts; others count the kinds of grams one longer that end in them
+        kinds = level.groupBy(F.substr("gram", F.lit(2)).alias("gram")).agg(F.lit(k).alias("k"), F.count("*").alias("a"))
+        first = counts.where(F.col("k") == k).select("gram", "k", F.col("c").alias("a"))
+        level = scratch.table(kinds.unionByName(first))
+        used = used.unionByName(level)
+    used = used.withColumn("ctx", F.substr("gram", F.lit(1), F.col("k") - 1))
 
     sizes: dict[int, dict[int, int]] = {}
     for k, a, n in used.where("a <= 4").groupBy("k", "a").count().collect():  # four rows an order
@@ -122,27 +130,34 @@ def build(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     return out.unionByName(last)
 
 
-def word_score(word: str, order: int, lp: dict[str, int], lb: dict[str, int]) -> int:
-    """Log-probability of a word with its end, in micro-units."""
-    s = START + word + STOP
+def gram_score(gram: str, lp: dict[str, int], lb: dict[str, int]) -> int:
+    """Log-probability of a gram's last symbol after the others, in micro-units."""
+    total = 0
+    while (p := lp.get(gram)) is None and len(gram) > 1:
+        total += lb.get(gram[:-1], 0)
+        gram = gram[1:]
+    return total + (lp[""] if p is None else p)
+
+
+def word_score(word: str, order: int, lp: dict[str, int], lb: dict[str, int], known: dict[str, int] | None = None) -> int:
+    """Log-probability of a word with its end, in micro-units; known keeps the scores of grams."""
+    known = {} if known is None else known
     total = 0
-    for i in range(1, len(s)):
-        j = max(0, i - order + 1)
-        while (p := lp.get(s[j : i + 1])) is None and j < i:
-            total += lb.get(s[j:i], 0)
-            j += 1
-        total += lp[""] if p is None else p
+    for g in windows(word, order):
+        if (p := known.get(g)) is None:
+            p = known[g] = gram_score(g, lp, lb)
+        total += p
     return total
 
 
-_memory: dict[str, dict[bytes, int]] = {}
+_memory: dict[str, tuple[dict[bytes, int], dict[str, int]]] = {}
 
 
-def remembered(name: str) -> dict[bytes, int]:
-    """Scores of words that this Python worker has met under the model of that name; only the last model's are kept."""
+def remembered(name: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Scores of words and grams that this Python worker has met under the model of that name; only the last model's are kept."""
     if name not in _memory:
         _memory.clear()
-        _memory[name] = {}
+        _memory[name] = {}, {}
     return _memory[name]
 
 
@@ -158,19 +173,20 @@ def score_in_place(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, lp, lb = shared.value
-        known = remembered(name)
+        known, grams = remembered(name)
         for b in batches:
             sizes, symbols, totals = [], [], []
             for text in b["text"]:
                 words = (text or "").encode().split()
                 for w in set(words).difference(known):
-                    known[w] = word_score(w.decode(), order, lp, lb)
+                    known[w] = word_score(w.decode(), order, lp, lb, grams)
                 sizes.append(len(words))
                 # the characters of the words, and an end for each
-                symbols.append(sum(map(len, map(bytes.decode, words))) + len(words))
+                symbols.append(len(text or "") - sum(map((text or "").count, SPACES)) + len(words))
                 totals.append(sum(map(known.__getitem__, words)))
-                if len(known) > REMEMBERED:
-                    known.clear()
+                for memory in (known, grams):
+                    if len(memory) > REMEMBERED:
+                        memory.clear()
             yield b[names].assign(n_words=sizes, n_symbols=symbols, total=totals)
 
     # all as text, so that nulls do not change types

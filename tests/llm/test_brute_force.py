@@ -125,8 +125,12 @@ def test_plan_is_near_the_bound():
 
 def kn_probability(model_words, order):
     """The textbook recursion, straight from counts."""
-    grams = Counter(g for w, n in model_words.items() for g in kneser_ney.grams_of(w, order) for _ in range(n))
-    counts = {g: c for (g, _), c in grams.items()}
+    counts = Counter()
+    for w, n in model_words.items():
+        s = kneser_ney.START + w + kneser_ney.STOP
+        for i in range(1, len(s)):
+            for k in range(1, min(order, i + 1) + 1):
+                counts[s[i - k + 1 : i + 1]] += n
     adjusted = {}
     for g, c in counts.items():
         raw = len(g) == order or g[0] == kneser_ney.START
