@@ -44,28 +44,43 @@ GENERATOR = 0b110001110101
 FEW = 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bits set in over half of the XXH64 hashes of word shingles, as a signed long."""
+def fingerprint(text: str | None, shingle: int = 3, tables: int = 1) -> list[int]:
+    """For each table the bits set in over half of the hashes of word shingles, as a signed long.
+
+    The hashes of the first table are XXH64, those of others are mixed from them.
+    """
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space splits
     if not words:
-        return 0
+        return [0] * tables
     runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    out = []
+    for t in range(tables):
+        h = _mixed(hashes, t) if t else hashes
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    h = h + np.uint64(table * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, _key (of the text) and fp of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFrame:
+    """doc_id, _key (of the text), fp (of the first table) and more (those of the others) of every row."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [fingerprint(t, shingle) for t in b["text"]]})
+            found = [fingerprint(t, shingle, tables) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [f[0] for f in found], "more": [f[1:] for f in found]})
 
     # ids travel as text, so that nulls do not turn them into floats
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
-    out = d.mapInPandas(each, "doc_id string, _key long, fp long")
-    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_key", "fp")
+    out = d.mapInPandas(each, "doc_id string, _key long, fp long, more array<long>")
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_key", "fp", "more")
 
 
 @cache
@@ -153,12 +168,31 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """doc_id, _key, fp, component (its least fingerprint) and component_id (its least doc_id) of every row."""
+def table_links(fps: DataFrame, table: int, scratch: Scratch) -> DataFrame:
+    """(a, b): first fingerprints of texts that the fingerprints of another table link."""
+    pairs = fps.select("fp", F.get("more", F.lit(table - 1)).alias("x")).distinct()
+    reps = scratch.table(pairs.groupBy("x").agg(F.min("fp").alias("rep")))
+    found = links(reps.select(F.col("x").alias("fp")), scratch)
+    equal = pairs.join(reps, "x").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    of = lambda side: reps.select(F.col("x").alias(side), F.col("rep").alias(f"rep_{side}"))
+    near = found.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return equal.unionByName(near)
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1) -> DataFrame:
+    """doc_id, _key, fp, component (its least fingerprint) and component_id (its least doc_id) of every row.
+
+    Texts are linked if their fingerprints of any table differ in at most two
+    bits.  More tables find more of the near copies: a pair that one table links
+    with a chance p is missed by n tables with (1 - p) ** n.
+    """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.table(fingerprints(docs, shingle))
+    fps = scratch.table(fingerprints(docs, shingle, tables))
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = scratch.table(links(reps, scratch))
+    for t in range(1, tables):
+        found = found.unionByName(scratch.table(table_links(fps, t, scratch)))
+        scratch.release()
     scratch.release()
     parts = connected_components(found, scratch)
     whole = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -267,6 +267,26 @@ def test_simhash(spark, mixed):
         assert r.component_id == min(least[parts[r.fp % (1 << 64)]], default=None)
 
 
+def test_more_tables_find_more_near_copies(spark):
+    """Texts with a word in a hundred changed: five-word similarity is about 0.9."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(300)]
+        rows.append((2 * i, " ".join(w)))
+        for _ in range(3):
+            w[rng.randrange(300)] = word()
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for tables in (1, 16):
+        got = {r.doc_id: r.component_id for r in simhash_golay.near_duplicates(df, tables=tables).collect()}
+        assert all(c in (d, d - d % 2) for d, c in got.items())  # never across originals
+        found.append(sum(d % 2 and c == d - 1 for d, c in got.items()))
+    assert found[0] < found[1] and found[1] >= 120, found
+
+
 @pytest.mark.parametrize("few", [2, 16])
 def test_links_join_clusters_of_any_size(spark, monkeypatch, few):
     monkeypatch.setattr(simhash_golay, "FEW", few)
