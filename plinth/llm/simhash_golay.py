@@ -42,6 +42,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Members of a key that are compared pair by pair; keys of more go by centres.
 FEW = 16
+#: Tables beside the first whose keys are joined in one go.
+AT_ONCE = 5
 
 
 def fingerprint(text: str | None, shingle: int = 3, tables: int = 1) -> list[int]:
@@ -131,23 +133,23 @@ def segment_keys(fps: np.ndarray) -> np.ndarray:
 
 
 def keyed(fps: DataFrame) -> DataFrame:
-    """fp and key, a row for each key of each fingerprint."""
+    """t, fp and key, a row for each key of each fingerprint."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = b["fp"].to_numpy(np.int64)
             keys = segment_keys(fp)
             i, j = np.nonzero(keys >= 0)
-            yield pd.DataFrame({"fp": fp[i], "key": keys[i, j]})
+            yield pd.DataFrame({"t": b["t"].to_numpy(np.int32)[i], "fp": fp[i], "key": keys[i, j]})
 
-    return fps.select("fp").mapInPandas(each, "fp long, key long")
+    return fps.select("t", "fp").mapInPandas(each, "t int, fp long, key long")
 
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of the distinct fingerprints fp that join all those within two bits."""
+    """(t, a, b): pairs of the distinct (t, fp) that join all fingerprints of a table t within two bits."""
     keys = scratch.table(keyed(fps))
-    shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    few = keys.join(shared.where(F.col("n") <= FEW).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("all"))
+    shared = scratch.table(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    few = keys.join(shared.where(F.col("n") <= FEW).select("t", "key"), ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("all"))
     near = F.flatten(
         F.transform(
             "all",
@@ -157,26 +159,28 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
             ),
         )
     )
-    pairs = few.select(F.explode(near).alias("p")).select("p.a", "p.b")
-    many = keys.join(shared.where(F.col("n") > FEW).select("key"), "key").select("fp").distinct()
-    centres = F.concat(
-        F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    )
-    balls = scratch.table(many.select("fp", F.explode(centres).alias("centre")))
-    hubs = scratch.table(balls.groupBy("centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    stars = balls.join(hubs, "centre").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    pairs = few.select("t", F.explode(near).alias("p")).select("t", "p.a", "p.b")
+    many = keys.join(shared.where(F.col("n") > FEW).select("t", "key"), ["t", "key"]).select("t", "fp").distinct()
+    flip = lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    centres = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), flip))
+    balls = scratch.table(many.select("t", "fp", F.explode(centres).alias("centre")))
+    hubs = balls.groupBy("t", "centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = balls.join(scratch.table(hubs), ["t", "centre"]).where("fp <> hub").select("t", F.col("fp").alias("a"), F.col("hub").alias("b"))
+    out = scratch.table(pairs.unionByName(stars).distinct())
+    scratch.drop(keys, shared, balls)
+    return out
 
 
-def table_links(fps: DataFrame, table: int, scratch: Scratch) -> DataFrame:
-    """(a, b): first fingerprints of texts that the fingerprints of another table link."""
-    pairs = fps.select("fp", F.get("more", F.lit(table - 1)).alias("x")).distinct()
-    reps = scratch.table(pairs.groupBy("x").agg(F.min("fp").alias("rep")))
-    found = links(reps.select(F.col("x").alias("fp")), scratch)
-    equal = pairs.join(reps, "x").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-    of = lambda side: reps.select(F.col("x").alias(side), F.col("rep").alias(f"rep_{side}"))
-    near = found.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    return equal.unionByName(near)
+def more_links(fps: DataFrame, first: int, last: int, scratch: Scratch) -> DataFrame:
+    """(a, b): first fingerprints of texts that the fingerprints of tables first to last link."""
+    tables = F.slice("more", first, last - first + 1)
+    pairs = fps.select("fp", F.posexplode(tables).alias("t", "x")).distinct()
+    reps = scratch.table(pairs.groupBy("t", "x").agg(F.min("fp").alias("rep")))
+    found = links(reps.select("t", F.col("x").alias("fp")), scratch)
+    equal = pairs.join(reps, ["t", "x"]).where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    of = lambda side: reps.select("t", F.col("x").alias(side), F.col("rep").alias(f"rep_{side}"))
+    near = found.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return scratch.table(equal.unionByName(near).where("a <> b").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1) -> DataFrame:
@@ -189,11 +193,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1) -> Da
     scratch = Scratch(docs.sparkSession)
     fps = scratch.table(fingerprints(docs, shingle, tables))
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = scratch.table(links(reps, scratch))
-    for t in range(1, tables):
-        found = found.unionByName(scratch.table(table_links(fps, t, scratch)))
-        scratch.release()
+    found = links(reps.withColumn("t", F.lit(0)), scratch).select("a", "b")
     scratch.release()
+    for t in range(1, tables, AT_ONCE):  # a few tables at a time, so that their keys need little disk
+        found = found.unionByName(more_links(fps, t, min(t + AT_ONCE, tables) - 1, scratch))
+        scratch.release()
     parts = connected_components(found, scratch)
     whole = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     whole = scratch.table(whole)

@@ -298,7 +298,7 @@ def test_links_join_clusters_of_any_size(spark, monkeypatch, few):
             chain = (chain if rng.random() < 0.5 else seed) ^ 1 << rng.randrange(64) ^ (1 << rng.randrange(64) if rng.random() < 0.6 else 0)
             fps.add(chain)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash_golay.links(spark.createDataFrame([(f,) for f in signed], "fp long"), Scratch(spark)).collect()
+    found = simhash_golay.links(spark.createDataFrame([(0, f) for f in signed], "t int, fp long"), Scratch(spark)).collect()
     near = [(a, b) for a, b in combinations(signed, 2) if (a ^ b) % (1 << 64) and ((a ^ b) % (1 << 64)).bit_count() <= 2]
     assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= 2 for r in found)
     assert brute_components(signed, [(r.a, r.b) for r in found]) == brute_components(signed, near)
