@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline as P
 from plinth.llm._base import Scratch
 from tests.llm.conftest import ROWS, SCHEMA, collected
@@ -9,6 +11,12 @@ from tests.llm.test_brute_force import brute_hits, brute_repeats, plain
 from tests.oracle import SF
 
 
+@pytest.fixture(autouse=True)
+def few_tables(monkeypatch):
+    """Two fingerprints do for what is tested here, and take less time."""
+    monkeypatch.setattr(P, "TABLES", 2)
+
+
 def test_stage_names_and_columns(spark, docs):
     assert [n for n, _ in P.STAGES] == ["quality rules", "near-dedup", "substring dedup", "decontamination", "packing"]
     for _, stage in P.STAGES[:-1]:
