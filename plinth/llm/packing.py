@@ -215,7 +215,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, with_ids: bool = F
         F.col("_part").alias("_p"),
         (F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count")).alias("_before"),
     )
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("start")))
+    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
 
