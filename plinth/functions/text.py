@@ -19,7 +19,8 @@ LOOKALIKES = ("‘’“”＇＂․∙―–—", "''\"\"'\"··---")
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFD}]"
 HEADING = r"^(?:\d+(?:\.\d+)*|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|[가-힣])[.)]\s*\S"
 PDF_HEADING = r"^(?:\d+(?:\.\d+)*|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+)[.)]\s*\S"
-BULLET = r"^[•▪■◆▶●○·‣\-*–—]\s*"
+#: Fixed value: marks of a list item.
+BULLET = r"^\s*(?:[✓✔✗✕•·▪◦●○]|[-–—]|\d+[.)]\s)\s*"
 
 
 def squeeze(text: Column) -> Column:

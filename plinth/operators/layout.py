@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from plinth.functions import text as T
 
-#: Marks of a source line, and titles of a table of contents.
-SOURCE = r"출처|참고문헌|Source\s*:|DOI\s*:|doi\.org"
-CONTENTS = r"(?i)^(?:목차|차례|contents|table of contents|agenda)$"
+# A page number, the marks of a source line, the titles of a table of contents.
+PAGE = r"^\s*\d+\s*/\s*\d+\s*$"
+SOURCE = r"(?i)(?:출처|source|references?|doi)\s*[:：]|한국예술연구|Korean\s+J\.|\|\s*제?\d+호"
+CONTENTS = r"(?i)^(?:발표\s*구성|목차|차례)$"
 
 
 def without_page_numbers(items: DataFrame) -> DataFrame:
     """Items but page numbers; items has slide_width and slide_height."""
     corner = (F.col("top") >= F.col("slide_height") * 0.85) & (F.col("left") >= F.col("slide_width") * 0.75)
-    number = F.col("text").rlike(r"^\d+\s*/\s*\d+$") | (F.col("text").rlike(r"^\d{1,3}$") & corner)
+    number = F.col("text").rlike(PAGE) | (F.col("text").rlike(r"^\d{1,3}$") & corner)
     return items.where(~number)
 
 

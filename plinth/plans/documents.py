@@ -100,9 +100,9 @@ def claim_box_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x)), lambda x: x <> '') AS l, trim(text) AS whole FROM documents),
-p AS (SELECT doc_id, list_filter(CASE WHEN len(l) > 1 AND len(list_filter(l, lambda x: regexp_matches(x, '^[•▪■◆▶●○·‣\-*–—]\s*'))) = len(l)
-  THEN list_transform(l, lambda x: trim(regexp_replace(x, '^[•▪■◆▶●○·‣\-*–—]\s*', ''))) ELSE [trim(regexp_replace(whole, '^[•▪■◆▶●○·‣\-*–—]\s*', ''))] END, lambda x: x <> '') AS p FROM l)
+    rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x)), lambda x: x <> '') AS l, trim(text) AS whole FROM documents),
+p AS (SELECT doc_id, list_filter(CASE WHEN len(l) > 1 AND len(list_filter(l, lambda x: regexp_matches(x, '{T.BULLET}'))) = len(l)
+  THEN list_transform(l, lambda x: trim(regexp_replace(x, '{T.BULLET}', ''))) ELSE [trim(regexp_replace(whole, '{T.BULLET}', ''))] END, lambda x: x <> '') AS p FROM l)
 SELECT doc_id, unnest(range(0, len(p)))::INTEGER AS n, unnest(p) AS claim FROM p"""
 )
 def claim_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:

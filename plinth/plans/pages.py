@@ -13,13 +13,13 @@ from plinth.plans.registry import query, table, values
 W, H = 12_192_000, 6_858_000
 ITEM = "deck_id string, slide int, item_id int, text string, top int, left int, width int, height int, font_size double, source_type string"
 ITEMS = [
-    ("d1", 1, 1, "유대-아랍 음악", 500_000, 600_000, 10_000_000, 900_000, 40.0, "text"),
+    ("d1", 1, 1, "도시의 소리", 500_000, 600_000, 10_000_000, 900_000, 40.0, "text"),
     ("d1", 1, 2, "공유된 전통과 정체성", 1_500_000, 600_000, 9_000_000, 500_000, 20.0, "text"),
     ("d1", 1, 3, "1961", 400_000, 9_000_000, 900_000, 400_000, 48.0, "text"),
-    ("d1", 1, 4, "출처: 한국예술연구", 6_300_000, 600_000, 4_000_000, 300_000, 10.0, "text"),
+    ("d1", 1, 4, "출처: 도시학보", 6_300_000, 600_000, 4_000_000, 300_000, 10.0, "text"),
     ("d1", 1, 5, "12", 6_400_000, 11_000_000, 500_000, 300_000, 10.0, "text"),
     ("d1", 2, 1, "목차", 500_000, 600_000, 3_000_000, 800_000, 36.0, "text"),
-    ("d1", 2, 2, "간전기의 역설", 2_000_000, 800_000, 5_000_000, 400_000, 18.0, "text"),
+    ("d1", 2, 2, "강변의 시장", 2_000_000, 800_000, 5_000_000, 400_000, 18.0, "text"),
     ("d1", 2, 3, "3 / 20", 6_400_000, 200_000, 500_000, 300_000, 10.0, "text"),
     ("d1", 3, 1, "결과", 450_000, 600_000, 8_000_000, 700_000, 36.0, "text"),
     ("d1", 3, 2, "항목 | 값", 2_500_000, 700_000, 6_000_000, 400_000, 14.0, "table_row"),
@@ -42,7 +42,7 @@ def items(spark: SparkSession) -> DataFrame:
 
 
 KEPT = rf"""{values('raw', ITEM, ITEMS)},
-kept AS (SELECT * FROM raw WHERE NOT (regexp_full_match(text, '\d+\s*/\s*\d+') OR (regexp_full_match(text, '\d{{1,3}}') AND top >= {H} * 0.85 AND "left" >= {W} * 0.75))),
+kept AS (SELECT * FROM raw WHERE NOT (regexp_matches(text, '{L.PAGE}') OR (regexp_full_match(text, '\d{{1,3}}') AND top >= {H} * 0.85 AND "left" >= {W} * 0.75))),
 titles AS (
   SELECT deck_id, slide, item_id, text FROM kept WHERE source_type IN ('text', 'chart_title') AND top < {H} * 0.40
     AND NOT regexp_full_match(text, '\d{{1,4}}(?:[–-]\d{{1,4}})?')
@@ -98,11 +98,11 @@ def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINE = "doc_id string, page int, line int, indent int, text string"
 LINES = [
-    ("p1", 1, 1, 40, "132 한국예술연구 제52호"), ("p1", 1, 2, 50, "1. 서론: 음악과 기억"), ("p1", 1, 3, 50, "음악은 기억을 담는다.8) 그래서 오래"),
+    ("p1", 1, 1, 40, "132 도시학보 제7호"), ("p1", 1, 2, 50, "1. 서론: 음악과 기억"), ("p1", 1, 3, 50, "음악은 기억을 담는다.8) 그래서 오래"),
     ("p1", 1, 4, 40, "남아 있으며 사람들은 이를 다시 부른다."), ("p1", 1, 5, 50, "둘째 문단은 여기에서 시작하여 이어지고"), ("p1", 1, 6, 40, "줄을 바꾸어 끝난다."),
-    ("p1", 1, 7, 40, "8) Glasser, Jonathan, The Lost Paradise"), ("p1", 2, 1, 50, "다음 쪽의 첫 줄은 앞 문단을 잇고 있으며"), ("p1", 2, 2, 40, "여기서 문장이 끝난다."),
-    ("p1", 2, 3, 50, "새로운 문단은 들여쓰기로 알아본다."), ("p1", 2, 4, 40, "2) 간전기의 역설"), ("p1", 2, 5, 40, "본문이 이어진다."), ("p1", 2, 6, 40, "유대-아랍 음악과 문화정체성 135"),
-    ("p2", 1, 1, 10, "짧은 문서."), ("p2", 1, 2, 10, "Published in Leiden by Brill"),
+    ("p1", 1, 7, 40, "8) Miller, Anna, The Quiet Harbor"), ("p1", 2, 1, 50, "다음 쪽의 첫 줄은 앞 문단을 잇고 있으며"), ("p1", 2, 2, 40, "여기서 문장이 끝난다."),
+    ("p1", 2, 3, 50, "새로운 문단은 들여쓰기로 알아본다."), ("p1", 2, 4, 40, "2) 강변의 시장"), ("p1", 2, 5, 40, "본문이 이어진다."), ("p1", 2, 6, 40, "도시 소리의 지형 135"),
+    ("p2", 1, 1, 10, "짧은 문서."), ("p2", 1, 2, 10, "Printed in Porto by Faro"),
 ]
 
 

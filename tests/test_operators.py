@@ -29,7 +29,7 @@ def test_normalizer(spark):
 
 
 def test_headings(spark):
-    cases = ["2) 마그레브 유대인과 음악", "3. 간전기에서", "가. 소제목", "1) 이것은 문장이다.", "그냥 글", "1. " + "x" * 60]
+    cases = ["2) 항구 도시의 음악", "3. 강변에서", "가. 소제목", "1) 이것은 문장이다.", "그냥 글", "1. " + "x" * 60]
     assert column(spark, cases, T.is_heading) == [True, True, True, False, False, False]
 
 
@@ -43,7 +43,7 @@ def test_bigrams_of_short_texts(spark):
 
 
 def test_masked_dots_keep_length():
-    for t, n in [("see p. 5 and pp. 6-7.", 2), ("et al. said 3.5 in 1995.12.6.", 5), ("J. Glasser.", 1), ("plain.", 0)]:
+    for t, n in [("see p. 5 and pp. 6-7.", 2), ("et al. said 3.5 in 1995.12.6.", 5), ("A. Miller.", 1), ("plain.", 0)]:
         assert len(masked(t)) == len(t) and masked(t).count("\0") == n, t
 
 
