@@ -147,6 +147,19 @@ def is_test_marker(text: Column) -> Column:
     return text.rlike(r"^\s*1(\D|$)")
 
 
+#: The domain that a document's prefix stands for.
+DOMAINS = {"socio": "사회학", "arts": "예체능", "bio": "바이오/의료", "tech": "기술/공학", "finance": "재무/경제"}
+
+
+def inferred_domain(domain: Column, doc: Column) -> Column:
+    """A domain that is empty or unreadable, as the document's prefix has it; else as it is."""
+    unreadable = (F.coalesce(domain, F.lit("")) == "") | F.contains(domain, F.lit("?"))
+    guess = F.when(~unreadable, domain)
+    for prefix, name in DOMAINS.items():
+        guess = guess.when(F.startswith(doc, F.lit(prefix)), name)
+    return guess.otherwise(domain)
+
+
 def first_present(*columns: Column) -> Column:
     """The first of the columns that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

@@ -16,32 +16,28 @@ ID_ROWS = [
     (1, "arts_01__claudecode_s03_c12", "arts_01__claudecode", "1", None), (2, "bio_02__x__gamma", "bio_02__x__gamma", " 1 (test)", "?"),
     (3, "plain", "socio-7", "12", "bio"), (4, "tech_02_w3_001", "tech_02", "", ""), (5, None, None, None, "fin?"), (6, "x_s1_c2_more", "finance_03__tool", "1", None),
 ]
+_DOMAIN_SQL = " ".join(f"WHEN starts_with(deck, '{k}') THEN '{v}'" for k, v in T.DOMAINS.items())
 ID_KIND = "id long, claim string, deck string, marker string, domain string"
 
 
 @query(
     rf"""WITH {values('m', ID_KIND, ID_ROWS)}
 SELECT id, nullif(regexp_extract(claim, '_(s\d+_c\d+)$', 1), '') AS suffix,
-  CASE WHEN contains(deck, '__') THEN split_part(deck, '__', -1) ELSE '' END AS tool, CASE WHEN contains(deck, '__') THEN split_part(deck, '__', 1) ELSE '' END AS doc,
+  CASE WHEN contains(deck, '__') THEN split_part(deck, '__', -1) END AS tool, CASE WHEN contains(deck, '__') THEN split_part(deck, '__', 1) END AS doc,
   coalesce(regexp_matches(marker, '^\s*1(\D|$)'), false) AS is_test,
-  CASE WHEN coalesce(domain, '') <> '' AND NOT contains(domain, '?') THEN domain WHEN starts_with(deck, 'arts') THEN 'arts' WHEN starts_with(deck, 'bio') THEN 'bio'
-    WHEN starts_with(deck, 'socio') THEN 'socio' WHEN starts_with(deck, 'tech') THEN 'tech' WHEN starts_with(deck, 'fin') THEN 'finance' ELSE 'unknown' END AS domain FROM m"""
+  CASE WHEN coalesce(domain, '') <> '' AND NOT contains(domain, '?') THEN domain {_DOMAIN_SQL} ELSE domain END AS domain FROM m"""
 )
 def id_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR9, STR19, F9, P9: what ids, markers and domains say."""
     m = spark.createDataFrame(ID_ROWS, ID_KIND)
     two = F.contains("deck", F.lit("__"))
-    kept = (F.coalesce("domain", F.lit("")) != "") & ~F.coalesce(F.contains("domain", F.lit("?")), F.lit(False))
-    domain = F.when(kept, F.col("domain"))
-    for prefix, name in (("arts", "arts"), ("bio", "bio"), ("socio", "socio"), ("tech", "tech"), ("fin", "finance")):
-        domain = domain.when(F.startswith("deck", F.lit(prefix)), name)
     return m.select(
         "id",
         D.claim_suffix(F.col("claim")).alias("suffix"),
-        F.when(two, F.substring_index("deck", "__", -1)).otherwise("").alias("tool"),
-        F.when(two, F.substring_index("deck", "__", 1)).otherwise("").alias("doc"),
+        F.when(two, F.substring_index("deck", "__", -1)).alias("tool"),
+        F.when(two, F.substring_index("deck", "__", 1)).alias("doc"),
         F.coalesce(T.is_test_marker(F.col("marker")), F.lit(False)).alias("is_test"),
-        domain.otherwise("unknown").alias("domain"),
+        T.inferred_domain(F.col("domain"), F.col("deck")).alias("domain"),
     )
 
 
