@@ -15,6 +15,11 @@ of near copies) by a second join that emits no pairs: fingerprints differ in at
 most two bits if and only if both are within one bit of a common centre, and all
 those around one centre are linked to the least of them.
 
+Two bits are few for copies that were edited.  With ``floor``, texts are also
+linked whose sets of five-word runs have at least that Jaccard similarity:
+candidates share a band of a MinHash, each is compared with the least and the
+greatest text of the band, and every link is verified by the exact sets.
+
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; a text of one or two words has one shingle, the whole.  Repeated
 rows each get a row.  A null doc_id is never the name of a component unless no
@@ -43,7 +48,11 @@ GENERATOR = 0b110001110101
 #: Members of a key that are compared pair by pair; keys of more go by centres.
 FEW = 16
 #: Tables beside the first whose keys are joined in one go.
-AT_ONCE = 5
+AT_ONCE = 3
+#: Words of a run whose sets tell similarity, bands of the MinHash and minima in each: at 0.8 one pair in 2,500 shares no band.
+RUN, BANDS, MINIMA = 5, 20, 5
+_rng = np.random.default_rng(5)
+FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, tables: int = 1) -> list[int]:
@@ -71,18 +80,38 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFrame:
-    """doc_id, _key (of the text), fp (of the first table) and more (those of the others) of every row."""
+def run_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the runs of RUN words; of the whole, where there are fewer words; none without words."""
+    words = (text or "").encode().lower().split()
+    runs = zip(*(words[k:] for k in range(RUN)), strict=False) if len(words) >= RUN else [words] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64))
+
+
+def bands(text: str | None) -> list[int]:
+    """A hash of each band of the text's MinHash, as a signed long; none without words."""
+    hashes = run_set(text)
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at : at + 4096, None] * FACTORS + SHIFTS).min(axis=0))
+    digests = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, MINIMA))]
+    return np.array(digests, np.uint64).view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1, banded: bool = False) -> DataFrame:
+    """doc_id, _key (of the text), fp (of the first table), more (those of the others) and bands (if banded) of every row."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [fingerprint(t, shingle, tables) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [f[0] for f in found], "more": [f[1:] for f in found]})
+            cut = [bands(t) if banded else [] for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [f[0] for f in found], "more": [f[1:] for f in found], "bands": cut})
 
     # ids travel as text, so that nulls do not turn them into floats
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
-    out = d.mapInPandas(each, "doc_id string, _key long, fp long, more array<long>")
-    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_key", "fp", "more")
+    out = d.mapInPandas(each, "doc_id string, _key long, fp long, more array<long>, bands array<long>")
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_key", "fp", "more", "bands")
 
 
 @cache
@@ -147,8 +176,10 @@ def keyed(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(t, a, b): pairs of the distinct (t, fp) that join all fingerprints of a table t within two bits."""
-    keys = scratch.table(keyed(fps))
+    written = keys = scratch.table(keyed(fps))
     shared = scratch.table(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    # merged at every size: whether the few are small enough to send depends on the input
+    keys = keys.hint("merge")
     few = keys.join(shared.where(F.col("n") <= FEW).select("t", "key"), ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("all"))
     near = F.flatten(
         F.transform(
@@ -165,9 +196,10 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     centres = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), flip))
     balls = scratch.table(many.select("t", "fp", F.explode(centres).alias("centre")))
     hubs = balls.groupBy("t", "centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = balls.join(scratch.table(hubs), ["t", "centre"]).where("fp <> hub").select("t", F.col("fp").alias("a"), F.col("hub").alias("b"))
+    hubs = scratch.table(hubs)
+    stars = balls.join(hubs, ["t", "centre"]).where("fp <> hub").select("t", F.col("fp").alias("a"), F.col("hub").alias("b"))
     out = scratch.table(pairs.unionByName(stars).distinct())
-    scratch.drop(keys, shared, balls)
+    scratch.drop(written, shared, balls, hubs)
     return out
 
 
@@ -180,24 +212,56 @@ def more_links(fps: DataFrame, first: int, last: int, scratch: Scratch) -> DataF
     equal = pairs.join(reps, ["t", "x"]).where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
     of = lambda side: reps.select("t", F.col("x").alias(side), F.col("rep").alias(f"rep_{side}"))
     near = found.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    return scratch.table(equal.unionByName(near).where("a <> b").distinct())
+    out = scratch.table(equal.unionByName(near).where("a <> b").distinct())
+    scratch.drop(reps, found)
+    return out
+
 
+def similar_links(docs: DataFrame, fps: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
+    """(a, b): first fingerprints of texts whose sets of runs have at least the similarity floor."""
+    texts = scratch.table(fps.select("_key", "fp", "bands").distinct())
+    cut = texts.select("_key", F.posexplode("bands").alias("band", "k"))
+    ends = cut.groupBy("band", "k").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).where("least < most")
+    ends = scratch.table(ends)
+    met = cut.join(ends, ["band", "k"]).select("_key", F.explode(F.array("least", "most")).alias("other")).where("_key <> other")
+    met = scratch.table(met.select(F.least("_key", "other").alias("x"), F.greatest("_key", "other").alias("y")).distinct())
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1) -> DataFrame:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"_key": b["_key"], "runs": [run_set(t).view(np.int64) for t in b["text"]]})
+
+    wanted = met.select(F.explode(F.array("x", "y")).alias("_key")).distinct()
+    d = docs.select(text_key(F.col("text")).alias("_key"), "text").join(wanted, "_key", "left_semi")
+    sets = scratch.table(d.groupBy("_key").agg(F.first("text").alias("text")).mapInPandas(each, "_key long, runs array<long>"))
+    of = lambda side: sets.select(F.col("_key").alias(side), F.col("runs").alias(f"runs_{side}"))
+    both = F.size(F.array_intersect("runs_x", "runs_y"))
+    near = met.join(of("x"), "x").join(of("y"), "y").where(both >= floor * (F.size("runs_x") + F.size("runs_y") - both)).select("x", "y")
+    near = scratch.table(near)
+    named = lambda side, name: texts.select(F.col("_key").alias(side), F.col("fp").alias(name))
+    out = scratch.table(near.join(named("x", "a"), "x").join(named("y", "b"), "y").where("a <> b").select("a", "b").distinct())
+    scratch.drop(texts, ends, met, sets, near)
+    return out
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1, floor: float | None = None) -> DataFrame:
     """doc_id, _key, fp, component (its least fingerprint) and component_id (its least doc_id) of every row.
 
     Texts are linked if their fingerprints of any table differ in at most two
     bits.  More tables find more of the near copies: a pair that one table links
-    with a chance p is missed by n tables with (1 - p) ** n.
+    with a chance p is missed by n tables with (1 - p) ** n.  With floor, texts
+    whose five-word similarity reaches it are linked as well.
     """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.table(fingerprints(docs, shingle, tables))
+    fps = scratch.table(fingerprints(docs, shingle, tables, floor is not None))
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = links(reps.withColumn("t", F.lit(0)), scratch).select("a", "b")
     scratch.release()
     for t in range(1, tables, AT_ONCE):  # a few tables at a time, so that their keys need little disk
         found = found.unionByName(more_links(fps, t, min(t + AT_ONCE, tables) - 1, scratch))
         scratch.release()
+    if floor is not None:
+        found = found.unionByName(similar_links(docs, fps, floor, scratch))
+        scratch.release()
     parts = connected_components(found, scratch)
     whole = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     whole = scratch.table(whole)

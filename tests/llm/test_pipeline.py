@@ -1,5 +1,6 @@
 """Each stage against what its operator decides, and the whole against the stages put together."""
 
+import random
 import re
 
 import pytest
@@ -62,3 +63,33 @@ def test_run_is_the_stages_in_turn(spark):
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert collected(P.run(spark, SF).select(keys)) == collected(docs.select(keys))
     assert docs.count() > 0 and re.fullmatch("doc_id long.*", SCHEMA)
+
+
+def edited(rng, words, share):
+    """The words with some changed in place, until the five-word similarity to the original is just over the share."""
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    out = list(words)
+    while True:
+        before = list(out)
+        out[rng.randrange(len(out))] = "".join(rng.choice("aeiourstln") for _ in range(6))
+        a, b = runs(words), runs(out)
+        if len(a & b) < share * len(a | b):
+            return before
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9, 0.5])
+def test_near_dedup_merges_edited_copies(spark, share, monkeypatch):
+    """With the registered similarity; unrelated texts and copies of half the text stay."""
+    monkeypatch.setattr(P, "TABLES", 1)
+    rng = random.Random(int(share * 100))
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(300)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited(rng, w, share)))]
+    kept = {r.doc_id for r in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept >= {d for d, _ in rows if d % 2 == 0}
+    if share >= P.SIMILAR:
+        assert len(kept) == 40
+    else:
+        assert len(kept) > 70
