@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of plain words: space and the ASCII controls 9 to 13.
@@ -100,6 +100,35 @@ def is_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def label_limits(bins: DataFrame, most_lost: float, kept_share: float, least: int) -> DataFrame:
+    """lang and limit, the last bin to keep, from bins (lang, bin and the counts held, junk and toxic).
+
+    Of the limits that lose no more than most_lost of a language's held-out
+    trusted documents it is the one that gains most: the mean of the shares of
+    junk and of toxic documents caught, less the share of trusted lost.  Without
+    junk and toxic ones it is the quantile kept_share of the trusted.  A language
+    needs so many trusted documents, and as many others unless least is one.
+    """
+    w = Window.partitionBy("lang")
+    upto = {c: F.sum(c).over(w.orderBy("bin")) for c in ("held", "junk", "toxic")}
+    run = bins.select("lang", "bin", *[f.alias(c) for c, f in upto.items()], *[F.sum(c).over(w).alias(f"all_{c}") for c in upto])
+    caught = lambda c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(c) / F.col(f"all_{c}")).otherwise(0.0)
+    kinds = F.when((F.col("all_junk") > 0) & (F.col("all_toxic") > 0), 2).otherwise(1)
+    gain = (caught("junk") + caught("toxic")) / kinds - caught("held")
+    bad = F.col("all_junk") + F.col("all_toxic")
+    run = run.where((F.col("all_held") >= least) & (bad >= (least if least > 1 else 0)))
+    run = run.where(F.col("held") >= F.when(bad > 0, 1 - most_lost).otherwise(kept_share) * F.col("all_held"))
+    rank = F.struct(F.when(bad > 0, F.round(gain, 9)).otherwise(-F.col("bin").cast("double")).alias("gain"), F.col("bin").alias("bin"))
+    return run.groupBy("lang").agg(F.max(rank)["bin"].alias("limit"))
+
+
+def label_kinds(labels: DataFrame) -> DataFrame:
+    """_good (a doc_id) and _kind of each labelled id: good (quality 1 and not toxic, by any of its rows), junk or toxic."""
+    kind = F.when(F.expr("quality = 1 AND coalesce(toxic, 0) = 0"), 3).when(F.expr("quality = 0"), 2).when(F.expr("toxic = 1"), 1)
+    known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_good"), kind.alias("k")).where("k IS NOT NULL")
+    return known.groupBy("_good").agg(F.max("k").alias("k")).select("_good", F.element_at(F.array(*map(F.lit, ("toxic", "junk", "good"))), F.col("k")).alias("_kind"))
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of docs whose (doc_id, text) is among keys (doc_id, _key); nulls match nulls."""
     k = keys.select(F.col("doc_id").alias("_k_id"), F.col("_key").alias("_k_text")).distinct()

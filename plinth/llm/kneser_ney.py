@@ -8,9 +8,13 @@ either where they lie, if the finished table has at most ``max_broadcast``
 grams (it is counted first), or by joins of their words' grams with the sharded
 table.  Both give the same scores.
 
-The held-out trusted documents of a language set its threshold: the quantile
-``kept_share`` of their log-perplexities, plus ``margin``.  A language with fewer
-than ``least`` of them takes the threshold of all languages together.
+The labels of a language set its threshold: the log-perplexity at which the mean
+of the shares of junk (quality 0) and of toxic documents caught, less the share of
+held-out trusted documents lost, is greatest, among those that lose no more than
+``most_lost`` of the latter.  A language with fewer than ``least`` held-out
+trusted documents, or fewer junk and toxic ones, takes the threshold of all
+languages together; if nothing is labelled junk or toxic, the threshold is the
+quantile ``kept_share`` of the held-out trusted.
 
 Edge cases: null and empty texts have no words, a null perplexity and are not
 kept; a null lang is a language of its own.  Repeated rows each get a row; a
@@ -30,14 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm._base import Scratch, is_at_most, plain_words, table
+from plinth.llm._base import Scratch, is_at_most, label_kinds, label_limits, plain_words, table
 
 #: Noncharacters that no text should hold.
 START, STOP = "﷐", "﷑"
 #: What separates words: the characters that ``bytes.split`` splits at.
 SPACES = " \t\n\v\f\r"
 REMEMBERED = 1 << 19
-FITS, HELD_OUT = 1, 2
+FITS, HELD_OUT, JUNK, TOXIC = 1, 2, 3, 4
 #: Log-probabilities are whole micro-units, so that sums do not depend on their order.
 MICRO = 1_000_000
 
@@ -230,21 +234,27 @@ def classify(
     *,
     order: int = 5,
     kept_share: float = 0.995,
-    margin: float = 0.05,
+    most_lost: float = 0.05,
     least: int = 50,
     max_broadcast: int = 1_500_000,
 ) -> DataFrame:
     """doc_id, lang, n_words, n_symbols, perplexity, threshold and kept of every row."""
     scratch = Scratch(docs.sparkSession)
-    good = (
-        labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
-    )
+    good = label_kinds(labels)
     if is_at_most(good, 4_000_000):
         good = F.broadcast(good)
     d = docs.select("doc_id", "text", "lang")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2))
     d = d.join(good, d["doc_id"] == F.col("_good"), "left").select(
-        "doc_id", "text", "lang", F.when(F.col("_good").isNull(), 0).when(fold == 0, FITS).otherwise(HELD_OUT).alias("_trusted")
+        "doc_id",
+        "text",
+        "lang",
+        F.when(F.col("_good").isNull(), 0)
+        .when(F.col("_kind") == "junk", JUNK)
+        .when(F.col("_kind") == "toxic", TOXIC)
+        .when(fold == 0, FITS)
+        .otherwise(HELD_OUT)
+        .alias("_trusted"),
     )
     counts = scratch.table(count_grams(d.where(F.col("_trusted") == FITS), order))
     if counts.isEmpty():
@@ -261,12 +271,15 @@ def classify(
         scored = score_by_joins(d, model, order, scratch)
     # thousandths of the log-perplexity
     scored = scratch.table(scored.withColumn("bin", F.expr("CASE WHEN n_symbols > 0 THEN -total div (1000 * n_symbols) END")))
-    held = scored.where((F.col("_trusted") == HELD_OUT) & F.col("bin").isNotNull())
-    limits = scratch.table(_quantiles(held.groupBy("lang", "bin").count(), kept_share, least))
-    every = _quantiles(held.groupBy(F.lit(None).cast("string").alias("lang"), "bin").count(), kept_share, 1).first()
+    known = scored.where((F.col("_trusted") >= HELD_OUT) & F.col("bin").isNotNull())
+    kinds = {"held": HELD_OUT, "junk": JUNK, "toxic": TOXIC}
+    bins = scratch.table(known.groupBy("lang", "bin").agg(*[F.count_if(F.col("_trusted") == k).alias(c) for c, k in kinds.items()]))
+    limits = scratch.table(label_limits(bins, most_lost, kept_share, least))
+    alike = bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(*[F.sum(c).alias(c) for c in kinds])
+    every = label_limits(alike, most_lost, kept_share, 1).first()
     limits = limits.withColumnsRenamed({"lang": "_lang", "limit": "_limit"})
     # one row for each language that has so many trusted documents
-    limit = F.coalesce("_limit", F.lit(every["limit"] if every else None).cast("long")) + round(margin * 1000)
+    limit = F.coalesce("_limit", F.lit(every["limit"] if every else None).cast("long"))
     joined = scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left").withColumn("limit", limit)
     return joined.select(
         "doc_id",
@@ -279,12 +292,5 @@ def classify(
     )
 
 
-def _quantiles(bins: DataFrame, share: float, least: int) -> DataFrame:
-    """lang and limit: the least bin that has the share of a language's documents up to it."""
-    w = Window.partitionBy("lang")
-    running = bins.select("lang", "bin", F.sum("count").over(w.orderBy("bin")).alias("upto"), F.sum("count").over(w).alias("all"))
-    return running.where((F.col("upto") >= share * F.col("all")) & (F.col("all") >= least)).groupBy("lang").agg(F.min("bin").alias("limit"))
-
-
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
