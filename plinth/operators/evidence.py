@@ -13,6 +13,10 @@ from plinth.functions import text as T
 from plinth.functions.udfs import similarity
 
 
+#: Characters of the runs by which evidence is looked for without white space.
+GRAM = 12
+
+
 def sentence_groups(sents: DataFrame, key: str, most: int = 3) -> DataFrame:
     """key, n, first, text: runs of 1 to ``most`` sentences, from arrays (key, sents)."""
 
@@ -33,16 +37,45 @@ def inner_word(evidence: Column) -> Column:
     return F.nullif(longest, F.lit(""))
 
 
-def candidates(evidence: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item_id, key) that may hold together: documents that have an inner word of the evidence.
+def candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(item_id, key) that may hold together: by an inner word of the evidence or, where it has none, by its characters.
 
-    A necessary condition for literal containment, found by an equi-join; without
-    it every item would have to be compared with every document.  Evidence of
-    fewer than three words has no inner word and is not looked for.
+    sents: key, sents; words are those of the sentences, as groups have them.  A
+    necessary condition for literal containment, found by an equi-join; without
+    it every item would have to be compared with every document.
     """
-    e = evidence.select("item_id", inner_word(T.squeeze(F.col("evidence"))).alias("word")).where("word IS NOT NULL")
-    d = docs.select(key, F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("word"))
-    return d.join(e, "word").select("item_id", key).distinct()
+    e = evidence.withColumn("word", inner_word(T.squeeze(F.col("evidence"))))
+    d = sents.select(key, F.explode(F.array_distinct(T.tokens(F.array_join("sents", " ")))).alias("word"))
+    found = d.join(e.where("word IS NOT NULL").select("item_id", "word"), "word").select("item_id", key)
+    return found.unionByName(unspaced_candidates(e.where("word IS NULL"), sents, key)).distinct()
+
+
+def unspaced_candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(item_id, key) that may hold together whatever the white space: documents that have the rarest run of GRAM
+    characters of the evidence, or all of it if it is shorter; both without white space."""
+    e = evidence.select("item_id", T.unspaced(F.col("evidence")).alias("e")).where("e <> ''")
+    e = e.withColumn("size", F.least(F.length("e"), F.lit(GRAM)))
+    sizes = sorted(r["size"] for r in e.select("size").distinct().collect())  # at most GRAM
+    d = sents.select(key, T.unspaced(F.array_join("sents", "")).alias("t"))
+    out = None
+    for size in sizes:
+        here = e.where(F.col("size") == size).select("item_id", F.explode(_grams("e", size)).alias("gram"))
+        grams = d.select(key, F.explode(_grams("t", size)).alias("gram"))
+        if size == GRAM:
+            often = grams.join(here.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+            # a run that no document has is the rarest
+            rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+            here = here.join(often, "gram", "left").groupBy("item_id").agg(F.min(rank)["gram"].alias("gram"))
+        met = grams.join(here, "gram").select("item_id", key)
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return d.select(F.lit(None).cast(e.schema["item_id"].dataType).alias("item_id"), key).where(F.lit(False))
+    return out.distinct()
+
+
+def _grams(text: str, size: int) -> Column:
+    """Distinct runs of so many characters, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def first_group(pairs: DataFrame, evidence: DataFrame, groups: DataFrame, key: str, unspaced: bool = False) -> DataFrame:

@@ -110,10 +110,9 @@ def claim_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.posexplode(T.bullet_claims(F.col("text"))).alias("n", "claim"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence"))
-    docs = documents(spark, sf_dir)
-    return e, V.candidates(e, docs), V.sentence_groups(S.sentence_arrays(docs), "doc_id")
+    return e, S.sentence_arrays(documents(spark, sf_dir))
 
 
 GROUPS = f"""{SENTS}, groups AS (
@@ -128,8 +127,8 @@ SELECT item_id, doc_id, (g // 1000000)::INTEGER AS n, (g % 1000000)::INTEGER AS
 )
 def evidence_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6, exact: benchmark passages in up to three consecutive sentences."""
-    e, pairs, groups = _evidence(spark, sf_dir)
-    return V.first_group(pairs, e, groups, "doc_id")
+    e, sents = _evidence(spark, sf_dir)
+    return V.first_group(V.candidates(e, sents), e, V.sentence_groups(sents, "doc_id"), "doc_id")
 
 
 @query(
@@ -139,8 +138,8 @@ SELECT item_id, doc_id, (g // 1000000)::INTEGER AS n, (g % 1000000)::INTEGER AS
 )
 def evidence_nospace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6 without white space."""
-    e, pairs, groups = _evidence(spark, sf_dir)
-    return V.first_group(pairs, e, groups, "doc_id", unspaced=True)
+    e, sents = _evidence(spark, sf_dir)
+    return V.first_group(V.unspaced_candidates(e, sents), e, V.sentence_groups(sents, "doc_id"), "doc_id", unspaced=True)
 
 
 @query(

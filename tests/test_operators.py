@@ -118,6 +118,21 @@ def test_evidence_stages(spark):
     assert got[4][0] == got[5][0] == "none"
 
 
+def test_evidence_is_found_whatever_the_spacing(spark):
+    """Every pair that brute force finds, also where spacing differs within words and for items of one or two words."""
+    docs = [(1, ["aa b bb cc dd."]), (2, ["xx aabbb cc", "dd ee."]), (3, ["foo.", "bar baz qux."]), (4, ["a long evidence of sev", "eral words stands here"]), (5, ["𝒳𝒴 한국 어"]), (6, [])]
+    items = ["aa bbb cc", "aabbb", "cc dd", "foo. bar baz", "longevidence of several wordsstands", "a long evidence of sev eral", "qux.", "a", "한국어", "𝒴 한", "", None, "not there at all, in none of them"]
+    sents = spark.createDataFrame(docs, "doc_id int, sents array<string>")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id int, evidence string")
+    groups = V.sentence_groups(sents, "doc_id")
+    runs = [(d, " ".join(s[i : i + n])) for d, s in docs for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+    for unspaced, pairs in ((False, V.candidates(e, sents)), (True, V.unspaced_candidates(e, sents))):
+        form = (lambda x: "".join(x.split())) if unspaced else (lambda x: " ".join(x.split()))
+        got = {(r.item_id, r.doc_id) for r in V.first_group(pairs, e, groups, "doc_id", unspaced=unspaced).collect()}
+        assert got == {(i, d) for i, x in enumerate(items) if x for d, t in runs if form(x) in form(t)}, unspaced
+    assert V.unspaced_candidates(e.where("item_id > 99"), sents).count() == 0
+
+
 def test_labels(spark):
     cases = ["근거있음", " Supported ", "NaN", "", None, "그 밖에"]
     assert column(spark, cases, E.canonical_label) == ["근거 있음", "근거 있음", None, None, None, None]
