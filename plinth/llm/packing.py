@@ -12,7 +12,9 @@ Pieces of equal length are alike, so a piece needs only its rank among those of
 its length to find its place in the plan.  Ranks come from counts by length and
 partition, so no task holds all pieces of a length.
 
-Edge cases: a null or empty text is the end mark alone.  Repeated rows each get
+Edge cases: a null or empty text is the end mark alone; texts of any length and
+with any run of one character have the tokenizer's ids.  Pieces of equal length
+are ranked by partition, doc_id, piece and checksum; equal plans by share.  Repeated rows each get
 their pieces.  A null doc_id stays null.  An empty table gives no rows.  Other
 columns are ignored.
 """
@@ -20,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,10 +34,14 @@ from pyspark.sql import functions as F
 
 from plinth.llm._base import Scratch, table
 
-#: How a byte-level vocabulary of this kind cuts text before merging (fixed value).
+#: How a byte-level vocabulary of this kind cuts text before merging (fixed value; such files only name the rule).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space that the pattern may have to walk back over is left to the slower library, whose stack it does not use up.
+LONG_BLANK = 100_000
+
+
 def byte_symbols() -> dict[str, int]:
     """The byte that each symbol of a byte-level vocabulary stands for."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,22 +62,39 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return ids, special
 
 
+class Coder:
+    """Ids of a text; the pattern's backtracking ends at some 500,000 blanks, so texts with long runs take the other library."""
+
+    def __init__(self, ids: dict[bytes, int], special: dict[str, int], file: str):
+        import tiktoken
+
+        self.special, self.file, self.other = special, file, None
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ids, special_tokens=special)
+        self.long = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+    def __call__(self, text: str) -> list[int]:
+        if len(text) >= LONG_BLANK and self.long.search(text):
+            if self.other is None:
+                from tokenizers import Tokenizer
+
+                self.other = Tokenizer.from_str(self.file)
+            return self.other.encode(text, add_special_tokens=False).ids
+        marks = {s for s in self.special if s in text}
+        return self.fast.encode(text, allowed_special=marks, disallowed_special=())
+
+
 def tokenized(docs: DataFrame, path: str, capacity: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every piece."""
     # read here and sent once to each executor; its size is that of the vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    with open(path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast((*vocabulary(path), f.read()))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        ids, special = shared.value
-        coder = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ids, special_tokens=special)
+        coder = Coder(*shared.value)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                marks = {s for s in special if text and s in text}
-                got = coder.encode(text or "", allowed_special=marks, disallowed_special=())
-                got.append(0)
+                got = [*coder(text or ""), 0]
                 whole, start = np.array(got, "<u4"), 0
                 cut = (len(got) - 1) % capacity + 1 if len(got) > capacity else len(got)
                 for piece, end in enumerate(range(cut, len(got) + 1, capacity)):
