@@ -7,15 +7,17 @@ necessary prefix: only that is joined.  A match fixes where the window would
 start; the start must not be negative and the window must end within the
 document; then the words are compared.
 
-Documents are never shuffled: shingle hashes are exploded and joined to the
-prefixes inside one stage.  Windows are joined in blocks of at most
-``BLOCK`` rows, each of which is broadcast; the bound does not depend on how
-many windows there are, only the number of blocks does.
+Shingles are exploded as hash and place alone, so that the work is linear in a
+text's length.  Up to ``BLOCK`` tokens (counted first) are broadcast and meet the
+shingles inside the scan, without a shuffle; more are joined by shuffle, in one
+scan as well.  The few places that match are gathered by document and the
+words of each are compared there.
 
 Edge cases: null and empty texts have no words and are never hit.  An item
 without words or with a null text has no window; a null item_id hits words but
 counts as no item.  Repeated rows of documents each get a row; rows that share
-a doc_id are told apart by their text.  Empty tables give no hits.  Other
+a doc_id are told apart by their text.  Of equally rare shingles the first in
+the window is taken.  Texts may have any length.  Empty tables give no hits.  Other
 columns are ignored.
 """
 
@@ -24,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm._base import Scratch, folded_words, table, text_key, windows_of
+from plinth.llm._base import Scratch, folded_words, is_at_most, table, text_key, windows_of
 
 SHINGLE = 3
-#: Windows (about 150 bytes each) in one broadcast.
+#: Tokens (about 30 bytes each) or windows (about 150) in a broadcast; more are joined by shuffle.
 BLOCK = 200_000
 #: NON_WORD before lower-casing: what splits words without changing them.
 SPLITS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -83,25 +85,22 @@ def _shingles(words: str, size: int) -> Column:
 
 def _hits(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, _key, start, len, window: each place where a window occurs."""
+    spark = docs.sparkSession
     sized = windows.withColumn("len", F.size("words"))
     shingle = F.least(F.col("len"), F.lit(SHINGLE))
-    tokens = None
     sizes = [r[0] for r in sized.select(shingle).distinct().collect()]  # of 1 to SHINGLE
+    if not sizes:
+        return spark.range(0).select(
+            F.col("id").alias("doc_id"), F.col("id").alias("_key"), *[F.lit(0).alias(c) for c in ("start", "len")], F.col("id").alias("window")
+        )
+    tokens = None
     for k in sizes:
         some = sized.where(shingle == k).select("window", F.posexplode(_shingles("words", k)).alias("off", "token"))
         tokens = some if tokens is None else tokens.unionByName(some)
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], "doc_id long, _key long, start int, len int, window long")
-    if tokens is None:
-        return empty
     tokens = scratch.table(tokens)
     wanted = scratch.table(tokens.select("token").distinct())
-    counts = None
-    for k in sizes:
-        for part in _blocks(wanted, "token"):
-            seen = _exploded(docs, k).select("token").join(F.broadcast(part), "token")
-            counts = seen if counts is None else counts.unionByName(seen)
-    counts = scratch.table(counts.groupBy("token").agg(F.count("*").alias("df")))
+    seen = _exploded(docs, sizes).select("token").join(_small(wanted), "token")
+    counts = scratch.table(seen.groupBy("token").agg(F.count("*").alias("df")))
     rarest = (
         tokens.join(counts, "token", "left")
         .groupBy("window")
@@ -109,36 +108,42 @@ def _hits(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
         .where("all = seen")
         .select("window", "r.off", "r.token")
     )
-    prefixes = scratch.table(rarest.join(sized, "window"))
-    hits = empty
-    for k in sizes:
-        for part in _blocks(prefixes.where(shingle == k), "window"):
-            start = F.col("pos") - F.col("off")
-            fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
-            same = F.slice("w", start + 1, F.col("len")) == F.col("words")
-            d = _exploded(docs, k)
-            p = F.broadcast(part.withColumnRenamed("token", "_token"))
-            hits = hits.unionByName(
-                d.join(p, (d["token"] == p["_token"]) & fits & same).select(
-                    "doc_id", "_key", start.alias("start"), "len", "window"
-                )
-            )
-    return hits
-
-
-def _exploded(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, _key, words w, pos, token: each shingle of each document."""
+    prefixes = scratch.table(rarest.join(sized, "window").select("window", "token", "off", "len", "words"))
+    # the bounds on place and length come before any words do
+    start = F.col("pos") - F.col("off")
+    p = _small(prefixes.select("window", F.col("token").alias("_token"), "off", "len"))
+    d = _exploded(docs, sizes)
+    met = d.join(p, (d["token"] == F.col("_token")) & (start >= 0) & (start + F.col("len") <= F.col("n")))
+    met = scratch.table(met.select("doc_id", "_key", start.alias("start"), "len", "window").distinct())
+    few = is_at_most(met, BLOCK)
+    met = met.join(_small(prefixes.select("window", "words")), "window")
+    met = met.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "len", "window", "words")).alias("met"))
+    met = scratch.table(met.withColumnsRenamed({"doc_id": "_id", "_key": "_k"}))
+    if few:
+        met = F.broadcast(met)
+    # of rows that repeat as they are, one is compared
+    t = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
+    t = t.join(met, t["doc_id"].eqNullSafe(met["_id"]) & (t["_key"] == met["_k"])).dropDuplicates(["doc_id", "_key"])
+    same = lambda w: F.filter("met", lambda m: F.slice(w, m["start"] + 1, m["len"]) == m["words"])
+    found = F.transform(F.array(folded_words(F.col("text"))), same)[0]
+    hits = t.select("doc_id", "_key", F.explode(found).alias("m"))
+    return hits.select("doc_id", "_key", "m.start", "m.len", "m.window")
+
+
+def _exploded(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, _key, n (words), pos, token: each shingle of each document."""
     d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), folded_words(F.col("text")).alias("w"))
-    return d.select("doc_id", "_key", "w", F.posexplode(_shingles("w", size)).alias("pos", "token"))
+    d = d.select("doc_id", "_key", F.size("w").alias("n"), "w")
+    out = None
+    for k in sizes:
+        some = d.select("doc_id", "_key", "n", F.posexplode(_shingles("w", k)).alias("pos", "token"))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
-def _blocks(rows: DataFrame, key: str) -> list[DataFrame]:
-    n = -(-rows.count() // BLOCK)
-    if n <= 1:
-        return [rows] * n
-    # half as many again: blocks by hash are not all equal
-    n += n // 2 + 1
-    return [rows.where(F.pmod(F.xxhash64(F.lit("block"), key), F.lit(n)) == i) for i in range(n)]
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few enough."""
+    return F.broadcast(rows) if is_at_most(rows, BLOCK) else rows
 
 
 def _covered(spans: Column) -> Column:
