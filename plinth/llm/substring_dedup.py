@@ -1,15 +1,17 @@
 """Substring dedup: repeated word windows, found by level-wise doubling.
 
 A window of ``length`` words can only be repeated if every shorter window in it
-is.  Short windows (18 words for 35) are judged first; only where they occur
-twice or more are they extended to twice that length, and so on until the
-length is reached or no candidate survives.
-
-At the first level not every place needs a row: of the short windows inside a
-window of the second level, the one with the least hash (the first of equals)
-stands for it.  The choice depends on the words alone, so equal windows choose
-equally, and a repeated one shows as a repeated choice.  That leaves about a
-tenth of the places.
+is.  Windows of 9 words are judged first (for 35); only where they occur twice
+or more are they extended to twice that length, 18, and so on until the length
+is reached (35, the last step, may be shorter than twice) or no candidate
+survives.
+
+Before the last level not every place needs a row.  A window of the next length
+is a candidate if all windows of the present length in it have survived; of
+these the one with the least hash (the first of equals) stands for it.  The
+choice depends on the words alone, so equal windows choose equally, and a
+repeated one shows as a repeated choice.  That leaves two places in eleven at 9
+words and, of what survives, two in nineteen at 18.
 
 Windows are compared by 96 bits of hash from two polynomials over the words'
 XXH64.  Counting combines before the shuffle; the counts are written before they
@@ -21,7 +23,8 @@ the copies is salted.
 
 Edge cases: null and empty texts have no words, are left as they are and hash as
 the empty text.  Texts of fewer words than a window lose nothing.  Repeated rows
-each count as an occurrence, and each gets a row.  A null doc_id stays null.
+each count as an occurrence, and each gets a row; no row comes first, so there
+are no ties.  Texts may have any length.  A null doc_id stays null.
 Empty tables give no rows.  Other columns are ignored.
 """
 
@@ -176,31 +179,37 @@ def repeated_windows(docs: DataFrame, length: int, shortest: int, scratch: Scrat
     if len(widths) == 1:
         found = _repeated(_rows(texts, length, lambda h, at: np.arange(max(0, len(h) - length + 1))), scratch)
         return found.join(groups, ["k1", "k2"])
-    first, second = widths[:2]
-    span = second - first + 1
-
-    def choice(h: np.ndarray) -> np.ndarray:
-        return chosen(window_hashes(h, first, FACTORS[0]), span)
-
-    found = _repeated(_rows(texts, first, lambda h, at: np.unique(choice(h))), scratch)
-    for k, width in enumerate(widths[1:]):
-        shift = width - widths[k]
-
-        def extended(h: np.ndarray, at: np.ndarray, k: int = k, shift: int = shift, width: int = width) -> np.ndarray:
-            if k == 0:
-                return np.flatnonzero(np.isin(choice(h), at))
-            both = np.intersect1d(at, at - shift)  # both halves have survived
-            return both[both <= len(h) - width]
 
-        if found.isEmpty():
+    def starts(k: int) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
+        """Which windows of widths[k] get a row, given where chosen windows of the width before have survived."""
+
+        def pick(h: np.ndarray, at: np.ndarray | None) -> np.ndarray:
+            ok = None
+            if k:
+                ok = np.isin(chosen(window_hashes(h, widths[k - 1], FACTORS[0]), widths[k] - widths[k - 1] + 1), at)
+                if k == len(widths) - 1:
+                    return np.flatnonzero(ok)
+            span = widths[k + 1] - widths[k] + 1
+            place = chosen(window_hashes(h, widths[k], FACTORS[0]), span)
+            if ok is not None and len(place):
+                gaps = np.concatenate([[0], np.cumsum(~ok)])
+                place = place[gaps[span:] == gaps[:-span]]
+            return np.unique(place)
+
+        return pick
+
+    found = None
+    for k, width in enumerate(widths):
+        if found is not None and found.isEmpty():
             break
-        now = _repeated(_rows(first_copies(found), width, extended), scratch)
-        scratch.drop(found)
+        now = _repeated(_rows(texts if found is None else first_copies(found), width, starts(k)), scratch)
+        if found is not None:
+            scratch.drop(found)
         found = now
     return found.join(groups, ["k1", "k2"])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 35, shortest: int = 18, with_columns: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 35, shortest: int = 9, with_columns: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row.
 
     with_columns: in place of doc_id a struct, own, of all columns of docs but
