@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from plinth.llm._base import Scratch, table
 
 LAW = "bytes"
+#: Rows that one task of the range exchange should order.
+ROWS_A_TASK = 1_000_000
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, *, overhead: int = 8) -> DataFrame:
@@ -32,7 +34,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, *, overhead: int = 8) -> DataFr
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.monotonically_increasing_id().alias("_tie"),
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as the rows need, whatever the session's default
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_A_TASK))
     # written, so that every later step sees the same partitions
     ranged = scratch.table(sized.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,9 @@ if they differ only in scheme, fragment or closing slashes.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no
 rule and no alias.  A null html has no links.  Repeated rows each get a row.
-An empty table gives no rows.  Other columns are ignored.
+An empty table gives no rows.  Other columns are ignored.  Of rules that fit
+equally long the one whose host and path come last is taken; urls and hosts may
+have any length.
 """
 
 from __future__ import annotations
@@ -86,8 +88,9 @@ def matched(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     )
     if len(rules) <= MAX_BROADCAST_RULES:
         r = F.broadcast(r)
-    labels = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # no more labels than the longest host of a rule has, so that a host of many does not cost their square
+    most = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    ends = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in range(1, most + 1)]))
     u = urls.select("host", "path").distinct().select("host", "path", F.explode(ends).alias("end"))
     best = F.max(F.struct("size", F.concat("r_host", "r_path").alias("rule"), "action"))
     return (
@@ -127,9 +130,7 @@ def filter_urls(
         .agg(F.max(F.col("action") == "allow").alias("allowed"))
     )
     named = groups.join(said, "component").select(F.col("node").alias("key"), "component", "allowed")
-    whole = groups.select(F.col("node").alias("key"), "component").join(
-        named.select("key", "allowed"), "key", "left"
-    )
+    whole = groups.select(F.col("node").alias("key"), "component").join(named.select("key", "allowed"), "key", "left")
     if is_at_most(ruled, MAX_BROADCAST_RULES):
         ruled = F.broadcast(ruled)
     verdict = (
@@ -137,14 +138,18 @@ def filter_urls(
         .when(F.col("allowed") == F.lit(False), "block")
         .otherwise("allow")
     )
+    # rows without a key have no alias, and would all meet in one task
+    none = [F.lit(None).cast("string").alias("component"), F.lit(None).cast("boolean").alias("allowed")]
+    named = p.where("key IS NOT NULL").join(whole, "key", "left").select(*p.columns, "component", "allowed")
+    named = named.unionByName(p.where("key IS NULL").select(*p.columns, *none))
     return (
-        p.join(ruled, ["host", "path"], "left")
-        .join(whole, "key", "left")
+        named.join(ruled, ["host", "path"], "left")
         .select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("component", "key").alias("alias_of"))
     )
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no page redirects or names a canonical address, as in the tables given, rules alone decide."""
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
