@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Separators of lower-cased words: ASCII that is neither a digit nor a letter.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Labelled ids (some 50 bytes each) that are joined by broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 500_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

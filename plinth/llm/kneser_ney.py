@@ -2,11 +2,13 @@
 
 The model predicts characters from the ``order - 1`` before them within a word,
 whose start and end are symbols too.  Counts come from all trusted documents
-but a held-out half.  Probabilities are built order by order with joins of the
-counts by gram, context and suffix, sharded by their hash.  Documents are scored
-either where they lie, if the finished table has at most ``max_broadcast``
-grams (it is counted first), or by joins of their words' grams with the sharded
-table.  Both give the same scores.
+but a held-out half, combined within partitions.  Probabilities are built order
+by order with joins of the counts by gram, context and suffix, sharded by their
+hash.  Documents are scored in one pass: the ``hot`` most frequent grams are
+broadcast, and a Bloom filter of fixed size tells which others the model may
+hold.  Windows that need none of those are scored where they lie; all others are
+joined with the sharded model, whatever its size, and their scores are summed
+back by document.
 
 The labels of a language set its threshold: the log-perplexity at which the mean
 of the shares of junk (quality 0) and of toxic documents caught, less the share of
@@ -18,7 +20,8 @@ quantile ``kept_share`` of the held-out trusted.
 
 Edge cases: null and empty texts have no words, a null perplexity and are not
 kept; a null lang is a language of its own.  Repeated rows each get a row; a
-null doc_id stays null.  Without trusted text nothing can be judged: perplexity
+null doc_id stays null; of limits that gain equally the highest is taken; words
+and texts may have any length.  Without trusted text nothing can be judged: perplexity
 and threshold are null and all texts with words are kept.  Empty tables give no
 rows.  Other columns are ignored.
 """
@@ -30,17 +33,21 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm._base import Scratch, is_at_most, label_kinds, label_limits, plain_words, table
+from plinth.llm._base import MAX_BROADCAST_IDS, Scratch, is_at_most, label_kinds, label_limits, plain_words, table
 
 #: Noncharacters that no text should hold.
 START, STOP = "﷐", "﷑"
 #: What separates words: the characters that ``bytes.split`` splits at.
 SPACES = " \t\n\v\f\r"
 REMEMBERED = 1 << 19
+#: Bits of the Bloom filter (four megabytes, whatever the model's size) and places set for a gram.
+BLOOM, PLACES = 1 << 25, 3
 FITS, HELD_OUT, JUNK, TOXIC = 1, 2, 3, 4
 #: Log-probabilities are whole micro-units, so that sums do not depend on their order.
 MICRO = 1_000_000
@@ -86,8 +93,8 @@ def discounts(sizes: dict[int, int]) -> tuple[float, float, float]:
 
 
 def build(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
-    """gram, lp (log-probability of its last symbol after the others) and lb (log-weight of what is shorter, where the gram
-    is a context); either may be null.  The empty gram's lp is that of an unknown symbol."""
+    """gram, lp (log-probability of its last symbol after the others), lb (log-weight of what is shorter, where the gram is a
+    context), either of which may be null, and seen (how often).  The empty gram's lp is that of an unknown symbol."""
     counts = counts.withColumn("k", F.length("gram"))
     used = level = scratch.table(counts.where(F.col("k") == order).select("gram", "k", F.col("c").alias("a")))
     for k in range(order - 1, 0, -1):
@@ -110,122 +117,170 @@ def build(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
         return out
 
     contexts = used.groupBy("k", "ctx").agg(F.sum("a").alias("total"), F.sum(lost(F.col("k"), F.col("a"))).alias("free"))
-    contexts = scratch.table(contexts.withColumn("weight", F.col("free") / F.col("total")))
+    contexts = scratch.table(contexts.withColumn("weight", F.col("free") / F.col("total")).withColumn("total", F.col("total").cast("long")))
     own = used.join(contexts, ["k", "ctx"]).select(
-        "gram", "k", ((F.col("a") - lost(F.col("k"), F.col("a"))) / F.col("total")).alias("own"), "weight"
+        "gram", "k", "a", ((F.col("a") - lost(F.col("k"), F.col("a"))) / F.col("total")).alias("own"), "weight"
     )
     own = scratch.table(own)
     first = contexts.where("k = 1").select("weight").first()
     kinds = own.where("k = 1").count() + 1
     unknown = first["weight"] / kinds if first else 1.0
-    known = own.where("k = 1").select("gram", (F.col("own") + unknown).alias("p"))
+    known = own.where("k = 1").select("gram", "a", (F.col("own") + unknown).alias("p"))
     all_p = known
     for k in range(2, order + 1):
         suffix = known.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
         now = own.where(F.col("k") == k).withColumn("suffix", F.substr("gram", F.lit(2)))
         known = scratch.table(
-            now.join(suffix, "suffix").select("gram", (F.col("own") + F.col("weight") * F.col("shorter")).alias("p"))
+            now.join(suffix, "suffix").select("gram", "a", (F.col("own") + F.col("weight") * F.col("shorter")).alias("p"))
         )
         all_p = all_p.unionByName(known)
     micro = lambda p: F.round(F.log(p) * MICRO).cast("long")
-    back = contexts.where("k > 1").select(F.col("ctx").alias("gram"), micro(F.col("weight")).alias("lb"))
-    out = all_p.select("gram", micro(F.col("p")).alias("lp")).join(back, "gram", "full")
-    last = own.sparkSession.createDataFrame([("", round(math.log(unknown) * MICRO), None)], "gram string, lp long, lb long")
+    back = contexts.where("k > 1").select(F.col("ctx").alias("gram"), "total", micro(F.col("weight")).alias("lb"))
+    seen = F.greatest("a", "total").alias("seen")
+    out = all_p.select("gram", "a", micro(F.col("p")).alias("lp")).join(back, "gram", "full").select("gram", "lp", "lb", seen)
+    empty = round(math.log(unknown) * MICRO)
+    last = own.sparkSession.range(1).select(F.lit("").alias("gram"), F.lit(empty).cast("long").alias("lp"), F.lit(None).cast("long").alias("lb"), F.lit(None).cast("long").alias("seen"))
     return out.unionByName(last)
 
 
-def gram_score(gram: str, lp: dict[str, int], lb: dict[str, int]) -> int:
-    """Log-probability of a gram's last symbol after the others, in micro-units."""
-    total = 0
-    while (p := lp.get(gram)) is None and len(gram) > 1:
-        total += lb.get(gram[:-1], 0)
-        gram = gram[1:]
-    return total + (lp[""] if p is None else p)
-
-
-def word_score(word: str, order: int, lp: dict[str, int], lb: dict[str, int], known: dict[str, int] | None = None) -> int:
-    """Log-probability of a word with its end, in micro-units; known keeps the scores of grams."""
-    known = {} if known is None else known
-    total = 0
-    for g in windows(word, order):
-        if (p := known.get(g)) is None:
-            p = known[g] = gram_score(g, lp, lb)
-        total += p
-    return total
+class Scores:
+    """The broadcast part of a model: grams with lp and lb, and a filter of the others."""
+
+    def __init__(self, lp: dict[str, int], lb: dict[str, int], bits: np.ndarray):
+        self.lp, self.lb, self.bits = lp, lb, bits
+
+    def may_hold(self, gram: str) -> bool:
+        """Whether the model may hold a gram that is not among the broadcast ones; never wrong if it says no."""
+        h = xxhash.xxh64_intdigest(gram, 42)
+        step = h >> 32 | 1
+        return all(self.bits[at >> 5] >> (at & 31) & 1 for at in ((h + i * step) % BLOOM for i in range(PLACES)))
+
+    def gram(self, gram: str) -> int | None:
+        """Log-probability of a gram's last symbol after the others, in micro-units; None if it takes the whole model."""
+        total = 0
+        while (p := self.lp.get(gram)) is None:
+            if self.may_hold(gram):
+                return None
+            if len(gram) == 1:
+                return total + self.lp[""]
+            b = self.lb.get(gram[:-1])
+            if b is None and len(gram) > 1 and self.may_hold(gram[:-1]):
+                return None
+            total += b or 0
+            gram = gram[1:]
+        return total + p
+
+    def word(self, word: str, order: int, known: dict[str, int | None]) -> tuple[int, list[str]]:
+        """Log-probability of a word with its end, less its windows that take the whole model, and those; known keeps the scores of windows."""
+        total, rest = 0, []
+        for g in windows(word, order):
+            if g not in known:
+                known[g] = self.gram(g)
+            if (p := known[g]) is None:
+                rest.append(g)
+            else:
+                total += p
+        return total, rest
+
+
+def split_model(model: DataFrame, hot: int) -> Scores:
+    """At most ``hot`` grams, those most often seen beside those of one symbol, and the filter of all others."""
+    # grams of one symbol count as seen most often, if the alphabet is not larger than the bound
+    level = F.when(F.length("gram") <= 1, 1 << 20).otherwise(F.floor(16 * F.log2(F.coalesce("seen", F.lit(1))))).cast("long")
+    leveled = model.withColumn("level", level)
+    least, held = 1 << 21, 0
+    for row in leveled.groupBy("level").count().orderBy(F.desc("level")).collect():  # some 1,000 rows at most
+        if held + row["count"] > hot:
+            break
+        least, held = row["level"], held + row["count"]
+    rows = leveled.where((F.col("level") >= least) | (F.col("gram") == "")).select("gram", "lp", "lb").toArrow()  # no more than hot + 1
+    columns = [rows[c].to_pylist() for c in ("gram", "lp", "lb")]
+    lp = {g: p for g, p, _ in zip(*columns, strict=True) if p is not None}
+    lb = {g: b for g, _, b in zip(*columns, strict=True) if b is not None}
+    h = F.xxhash64("gram")
+    # unsigned remainders, as Python has them
+    low = F.pmod(h, F.lit(BLOOM))
+    step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    at = F.explode(F.array(*[F.pmod(low + i * F.pmod(step, F.lit(BLOOM)), F.lit(BLOOM)) for i in range(PLACES)])).alias("at")
+    rest = leveled.where((F.col("level") < least) & (F.col("gram") != "")).select(at)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").cast("int") % 32)
+    words = rest.groupBy((F.col("at") / 32).cast("int").alias("i")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most BLOOM / 32 rows
+    bits = np.zeros(BLOOM // 32, np.uint32)
+    bits[words["i"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return Scores(lp, lb, bits)
 
 
-_memory: dict[str, tuple[dict[bytes, int], dict[str, int]]] = {}
+_memory: dict[str, tuple[dict, dict]] = {}
 
 
-def remembered(name: str) -> tuple[dict[bytes, int], dict[str, int]]:
-    """Scores of words and grams that this Python worker has met under the model of that name; only the last model's are kept."""
+def remembered(name: str) -> tuple[dict, dict]:
+    """Scores of words and windows that this Python worker has met under the model of that name; only the last model's are kept."""
     if name not in _memory:
         _memory.clear()
         _memory[name] = {}, {}
     return _memory[name]
 
 
-def score_in_place(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """docs' columns but text, with n_words, n_symbols and total, from a model sent to every executor."""
-    rows = model.select("gram", "lp", "lb").toArrow()  # no more than the caller allows
-    columns = [rows[c].to_pylist() for c in ("gram", "lp", "lb")]
-    lp = {g: p for g, p, _ in zip(*columns, strict=True) if p is not None}
-    lb = {g: b for g, _, b in zip(*columns, strict=True) if b is not None}
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, lp, lb))
+def score(docs: DataFrame, model: DataFrame, order: int, hot: int, scratch: Scratch) -> DataFrame:
+    """docs' columns but text, with n_words, n_symbols and total."""
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, split_model(model, hot)))
     names = [c for c in docs.columns if c != "text"]
     kinds = [docs.schema[c].dataType.simpleString() for c in names]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, lp, lb = shared.value
+        name, scores = shared.value
         known, grams = remembered(name)
         for b in batches:
-            sizes, symbols, totals = [], [], []
+            sizes, symbols, totals, rest, times = [], [], [], [], []
             for text in b["text"]:
-                words = (text or "").encode().split()
-                for w in set(words).difference(known):
-                    known[w] = word_score(w.decode(), order, lp, lb, grams)
-                sizes.append(len(words))
+                words = Counter((text or "").encode().split())
+                total, left = 0, Counter()
+                for w, n in words.items():
+                    if (got := known.get(w)) is None:
+                        got = known[w] = scores.word(w.decode(), order, grams)
+                    total += n * got[0]
+                    for g in got[1]:
+                        left[g] += n
+                sizes.append(words.total())
                 # the characters of the words, and an end for each
-                symbols.append(len(text or "") - sum(map((text or "").count, SPACES)) + len(words))
-                totals.append(sum(map(known.__getitem__, words)))
+                symbols.append(len(text or "") - sum(map((text or "").count, SPACES)) + sizes[-1])
+                totals.append(total)
+                rest.append(list(left))
+                times.append(list(left.values()))
                 for memory in (known, grams):
                     if len(memory) > REMEMBERED:
                         memory.clear()
-            yield b[names].assign(n_words=sizes, n_symbols=symbols, total=totals)
+            yield b[[*names, "_row"]].assign(n_words=sizes, n_symbols=symbols, total=totals, rest=rest, times=times)
 
     # all as text, so that nulls do not change types
-    d = docs.select(*[F.col(c).cast("string").alias(c) for c in names], "text")
-    out = d.mapInPandas(each, ", ".join(f"{c} string" for c in names) + ", n_words long, n_symbols long, total long")
-    return out.select(*[F.col(c).cast(k).alias(c) for c, k in zip(names, kinds, strict=True)], "n_words", "n_symbols", "total")
-
-
-def score_by_joins(docs: DataFrame, model: DataFrame, order: int, scratch: Scratch) -> DataFrame:
-    """As score_in_place, by joins of words and grams with the sharded model."""
-    names = [c for c in docs.columns if c != "text"]
-    rows = scratch.table(docs.select(*names, F.monotonically_increasing_id().alias("_row"), plain_words(F.col("text")).alias("w")))
-    words = rows.select("_row", F.explode("w").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))
-    words = scratch.table(words)
-    s = F.concat(F.lit(START), "word", F.lit(STOP))
-    place = words.select("word").distinct().select("word", s.alias("s"), F.explode(F.sequence(F.lit(1), F.length("word") + 1)).alias("i"))
-    tried = place.select("word", "s", "i", F.explode(F.sequence(F.lit(0), F.least(F.lit(order), F.col("i") + 1))).alias("k"))
-    gram = F.when(F.col("k") == 0, "").otherwise(F.substr("s", F.col("i") - F.col("k") + 2, F.col("k")))
-    ctx = F.when(F.col("k") > 1, F.substr("s", F.col("i") - F.col("k") + 2, F.col("k") - 1))
-    tried = tried.select("word", "i", "k", gram.alias("gram"), ctx.alias("ctx"))
+    d = docs.select(*[F.col(c).cast("string").alias(c) for c in names], F.monotonically_increasing_id().alias("_row"), "text")
+    made = ", ".join(f"{c} string" for c in names) + ", _row long, n_words long, n_symbols long, total long, rest array<string>, times array<long>"
+    out = d.mapInPandas(each, made)
+    own = [F.col(c).cast(k).alias(c) for c, k in zip(names, kinds, strict=True)]
+    scored = scratch.table(out.select(*own, "_row", "n_words", "n_symbols", "total", "rest", "times"))
+    left = scored.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("_row", "r.rest", "r.times")
+    by_window = scratch.table(window_scores(left.select(F.col("rest").alias("window")).distinct(), model, order))
+    sums = left.join(by_window, F.col("rest") == F.col("window")).groupBy("_row").agg(F.sum(F.col("times") * F.col("score")).alias("more"))
+    total = (F.col("total") + F.coalesce("more", F.lit(0))).cast("long").alias("total")
+    return scored.join(sums, "_row", "left").select(*names, "n_words", "n_symbols", total)
+
+
+def window_scores(seen: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """window and score (micro-units) of distinct windows, by joins of their suffixes and contexts with the sharded model."""
+    size = F.length("window")
+    tried = seen.select("window", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), size))).alias("k"))
+    gram = F.substr("window", size - F.col("k") + 1, F.col("k"))
+    ctx = F.when(F.col("k") > 1, F.substr("window", size - F.col("k") + 1, F.col("k") - 1))
+    tried = tried.select("window", "k", gram.alias("gram"), ctx.alias("ctx"))
     tried = tried.join(model.select("gram", "lp"), "gram", "left")
     tried = tried.join(model.where("lb IS NOT NULL").select(F.col("gram").alias("ctx"), "lb"), "ctx", "left")
-    best = F.max(F.when(F.col("lp").isNotNull(), F.col("k"))).over(Window.partitionBy("word", "i"))
-    scores = (
-        tried.withColumn("best", best)
-        .where("k >= best")
-        .groupBy("word")
-        .agg(F.sum(F.when(F.col("k") == F.col("best"), F.col("lp")).otherwise(F.coalesce("lb", F.lit(0)))).alias("score"))
-    )
-    scores = scratch.table(scores)
-    sums = words.join(scores, "word").groupBy("_row").agg(
-        F.sum("n").alias("n_words"), F.sum(F.col("n") * (F.length("word") + 1)).alias("n_symbols"), F.sum(F.col("n") * F.col("score")).alias("total")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.drop("w").join(sums, "_row", "left").select(*names, zero("n_words"), zero("n_symbols"), zero("total"))
+    unknown = model.where("gram = ''").select(F.col("lp").alias("unknown"))  # one row
+    best = F.max(F.when(F.col("lp").isNotNull(), F.col("k"))).over(Window.partitionBy("window"))
+    steps = tried.withColumn("best", F.coalesce(best, F.lit(0))).where("k >= best")
+    part = F.when(F.col("k") == F.col("best"), F.col("lp")).otherwise(F.coalesce("lb", F.lit(0)))
+    sums = steps.groupBy("window", "best").agg(F.sum(part).alias("score"))
+    last = F.when(F.col("best") == 0, F.col("unknown")).otherwise(0)
+    return sums.join(F.broadcast(unknown)).select("window", (F.col("score") + last).alias("score"))
 
 
 def classify(
@@ -236,12 +291,15 @@ def classify(
     kept_share: float = 0.995,
     most_lost: float = 0.05,
     least: int = 50,
-    max_broadcast: int = 1_500_000,
+    hot: int = 1 << 18,
 ) -> DataFrame:
-    """doc_id, lang, n_words, n_symbols, perplexity, threshold and kept of every row."""
+    """doc_id, lang, n_words, n_symbols, perplexity, threshold and kept of every row.
+
+    hot bounds the grams that are broadcast; it does not change any score.
+    """
     scratch = Scratch(docs.sparkSession)
     good = label_kinds(labels)
-    if is_at_most(good, 4_000_000):
+    if is_at_most(good, MAX_BROADCAST_IDS):
         good = F.broadcast(good)
     d = docs.select("doc_id", "text", "lang")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2))
@@ -265,10 +323,7 @@ def classify(
             (F.col("n_words") > 0).alias("kept"),
         )
     model = scratch.table(build(counts, order, scratch))
-    if is_at_most(model, max_broadcast):
-        scored = score_in_place(d, model, order)
-    else:
-        scored = score_by_joins(d, model, order, scratch)
+    scored = score(d, model, order, hot, scratch)
     # thousandths of the log-perplexity
     scored = scratch.table(scored.withColumn("bin", F.expr("CASE WHEN n_symbols > 0 THEN -total div (1000 * n_symbols) END")))
     known = scored.where((F.col("_trusted") >= HELD_OUT) & F.col("bin").isNotNull())

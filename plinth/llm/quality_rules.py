@@ -13,7 +13,8 @@ the same documents always get the same scores and verdicts.
 
 Edge cases: a null text has no words; base_failed holds for fewer than 10
 words, so null and empty texts are never kept.  Repeated rows each get a row.
-A null doc_id stays null.  Without a trusted document no ratio exists: the
+A null doc_id stays null.  Equal scores get equal verdicts; texts may have any
+length.  Without a trusted document no ratio exists: the
 score is 0 and the base rules decide.  Without a held-out one the floor is
 minus the margin.  Other columns of docs are ignored.
 """
@@ -26,13 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from plinth.llm._base import Scratch, is_at_most, plain_words, table, text_key, windows_of
+from plinth.llm._base import MAX_BROADCAST_IDS, Scratch, is_at_most, plain_words, table, text_key, windows_of
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MICRO = 1_000_000
 FITS, HELD_OUT = 1, 2
-#: Labelled ids that are joined by broadcast; more are joined by shuffle.
-MAX_BROADCAST_IDS = 4_000_000
 
 
 def quality_rules(

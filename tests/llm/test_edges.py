@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import decontamination, kneser_ney, license_scan, packing, quality_rules, sharding, simhash_golay, substring_dedup, token_counts, url_filter
 from tests.llm.conftest import ROWS, collected
@@ -51,6 +52,19 @@ def test_no_benchmark(spark, docs):
     assert out.count() == len(ROWS) and out.where("contaminated OR n_hit > 0").count() == 0
 
 
+def test_odd_pages(spark):
+    """Nulls, clashing columns, a url of a million characters, a host of 10,000 labels, repeated rows."""
+    long = "http://a.test/" + "x" * 1_000_000
+    many = "http://" + "a." * 10_000 + "example.com/en/1"
+    rows = [(1, long, None), (2, many, ""), (2, many, ""), (None, None, None), (3, "", "<link rel=canonical href=/x>"), (4, "://", None), (5, "x://?q", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = ["host", "path", "key", "rule", "action", "component", "allowed", "verdict", "end", "size", "tag", "to", "a", "b", "node"]
+    got = collected(url_filter.filter_urls(pages, url_filter.RULES))
+    assert collected(url_filter.filter_urls(pages.withColumns({c: F.lit("clash") for c in names}), url_filter.RULES)) == got
+    verdicts = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.RULES).collect()}
+    assert verdicts[2] == ("com/en/", "block") and verdicts[1] == verdicts[None] == verdicts[3] == verdicts[4] == (None, "allow") and len(got) == len(rows)
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.filter_urls(pages, url_filter.RULES).count() == 0
