@@ -29,6 +29,16 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def decoded(encoding: str):
+    """Texts of bytes in an encoding that Spark itself does not read."""
+
+    @F.pandas_udf(StringType())
+    def decode(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: bytes(b).decode(encoding), na_action="ignore")
+
+    return decode
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks, from 0 to 1; null counts as empty."""

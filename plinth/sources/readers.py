@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from plinth.functions.udfs import decoded
+
 S, I, B, D = StringType(), IntegerType(), BooleanType(), DoubleType()
 
 
@@ -46,6 +48,51 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, encoding: str
     return reader.json(path)
 
 
+def read_jsonl_any(spark: SparkSession, path: str, schema: StructType, other: str = "cp949") -> DataFrame:
+    """JSON lines in UTF-8, with or without a byte order mark, or else in the other encoding; a path that does not exist is an empty table.
+
+    Lines that are no UTF-8 are looked for first, where they lie; what neither
+    encoding reads is an error, not an empty table.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    lines = spark.read.text(path)
+    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+        lines = lines.select(decoded(other)(F.col("value").cast("binary")).alias("value"))
+    kept = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where("trim(value) <> ''")
+    return kept.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_results(spark: SparkSession, path: str, labels: dict[str, str]) -> DataFrame:
+    """name (of the file), macro_f1, std, accuracy, per_class (by label) and seeds of result files in either format.
+
+    One format has a ``classification_report`` of a single run, the other
+    ``runs``, one for each seed, which are averaged.  labels: the names of the
+    labels in the second format, by those in the first; a label that a run does
+    not name counts as 0 there.  Files of neither format are left out.
+    """
+    score = StructType([StructField("f1-score", D)])
+    test = _fields(macro_f1=D, accuracy=D, per_class_f1=StructType([StructField(x, D) for x in labels.values()]))
+    schema = StructType(
+        [StructField("macro_f1", D), StructField("accuracy", D), StructField("classification_report", StructType([StructField(x, score) for x in labels])),
+         StructField("runs", ArrayType(StructType([StructField("test", test)])))]
+    )
+    r = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.input_file_name().alias("file"))
+    one, n = F.col("classification_report").isNotNull(), F.size("runs")
+    mean = lambda get: F.aggregate("runs", F.lit(0.0), lambda a, x: a + F.coalesce(get(x["test"]), F.lit(0.0))) / n
+    average = mean(lambda t: t["macro_f1"])
+    std = F.sqrt(F.aggregate("runs", F.lit(0.0), lambda a, x: a + F.pow(x["test"]["macro_f1"] - average, F.lit(2))) / n)
+    per = lambda x: F.when(one, F.col("classification_report")[x]["f1-score"]).otherwise(mean(lambda t: t["per_class_f1"][labels[x]]))
+    return r.where(one | F.col("runs").isNotNull()).select(
+        F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"),
+        F.when(one, F.col("macro_f1")).otherwise(average).alias("macro_f1"),
+        F.when(~one, std).alias("std"),
+        F.when(one, F.col("accuracy")).otherwise(mean(lambda t: t["accuracy"])).alias("accuracy"),
+        F.struct(*[per(x).alias(x) for x in labels]).alias("per_class"),
+        F.when(one, 1).otherwise(n).alias("seeds"),
+    )
+
+
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines with file and ord, the number of the line among those of its file that are not blank.
 

@@ -11,11 +11,11 @@ from plinth.sources.writers import upsert_table
 
 
 def stream_upserts(spark: SparkSession, source: str, schema: StructType, target: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Follow a folder of JSON lines and merge each batch into the Parquet table at target.
+    """Follow a folder of JSON lines and merge each batch into the table at target, which ``read_table`` reads.
 
     order: of several rows of a key in one batch the one that is last by this
     column counts.  A batch that is run again after a failure gives the same
-    table, since it replaces rows by key.
+    table, since it replaces rows by key and a failure leaves the version before.
     """
 
     def merge(batch: DataFrame, _: int) -> None:

@@ -73,7 +73,74 @@ def test_upsert_table(spark, tmp_path):
     at = str(tmp_path / "t")
     W.upsert_table(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), at, "k")
     W.upsert_table(spark.createDataFrame([("b", 3)], "k string, v int"), at, "k")
-    assert {tuple(r) for r in spark.read.parquet(at).collect()} == {("a", 1), ("b", 3)}
+    assert {tuple(r) for r in W.read_table(spark, at).collect()} == {("a", 1), ("b", 3)}
+
+
+@pytest.mark.parametrize("step", ["_commit", "_sweep", "upsert"])
+def test_upsert_that_dies_loses_nothing(spark, tmp_path, monkeypatch, step):
+    at = str(tmp_path / "t")
+    for v in (1, 2):
+        W.upsert_table(spark.createDataFrame([(f"k{i}", v) for i in range(50)], "k string, v int"), at, "k")
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(W, step, dies)
+        W.upsert_table(spark.createDataFrame([("k1", 9), ("new", 9)], "k string, v int"), at, "k")
+    old = {(f"k{i}", 2) for i in range(50)}
+    now = {("new", 9), *((k, 9 if k == "k1" else v) for k, v in old)}
+    # the new version counts from the moment its manifest is in place
+    assert {tuple(r) for r in W.read_table(spark, at).collect()} == (now if step == "_sweep" else old)
+    W.upsert_table(spark.createDataFrame([("k1", 9), ("new", 9)], "k string, v int"), at, "k")
+    assert {tuple(r) for r in W.read_table(spark, at).collect()} == now
+    assert len(list((tmp_path / "t" / "manifests").glob("*.json"))) <= 2
+
+
+def test_writers_replace_when_complete(spark, tmp_path):
+    at = str(tmp_path / "o")
+    W.write_jsonl(spark.createDataFrame([(1,)], "i int"), at)
+    broken = spark.createDataFrame([(1,)], "i int").selectExpr("raise_error('no') AS i")
+    with pytest.raises(Exception, match="no"):
+        W.write_jsonl(broken, at)
+    assert [r.i for r in spark.read.json(at).collect()] == [1]
+    W.write_jsonl(spark.createDataFrame([(2,)], "i int"), at)
+    assert [r.i for r in spark.read.json(at).collect()] == [2]
+
+
+def test_strict_json_at_any_depth(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, [nan, 1.0, -inf], (inf, "x"), {"a": nan})], "i int, a array<double>, s struct<d: double, t: string>, m map<string, double>")
+    r = W.strict(df).first()
+    assert (r.a, tuple(r.s), r.m) == ([None, 1.0, None], (None, "x"), {"a": None})
+
+
+def test_csv_with_mark(spark, tmp_path):
+    W.write_csv(spark.createDataFrame([("a", 1)], "t string, n int").coalesce(1), str(tmp_path / "c"), mark=True)
+    body = next((tmp_path / "c").glob("*.csv")).read_bytes()
+    assert body.startswith("\ufefft,n".encode()) and spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 1
+
+
+def test_encodings(spark, tmp_path):
+    line = '{"sent_id": "s001", "text": "한글"}\n'
+    for name, data in {"u": line.encode(), "b": b"\xef\xbb\xbf" + line.encode(), "k": line.encode("cp949")}.items():
+        (tmp_path / f"{name}.jsonl").write_bytes(data)
+        assert [(r.sent_id, r.text) for r in R.read_jsonl_any(spark, str(tmp_path / f"{name}.jsonl"), R.SCHEMAS["sents"]).collect()] == [("s001", "한글")], name
+    assert R.read_jsonl_any(spark, str(tmp_path / "none"), R.SCHEMAS["sents"]).count() == 0
+
+
+def test_results_in_both_formats(spark, tmp_path):
+    labels = {"yes it is": "yesitis", "No": "no"}
+    one = {"macro_f1": 0.5, "accuracy": 0.6, "classification_report": {"yes it is": {"f1-score": 0.4, "support": 2}, "No": {"f1-score": 0.6}, "accuracy": 0.6}}
+    run = lambda m, per: {"test": {"macro_f1": m, "accuracy": m, "per_class_f1": per}}
+    many = {"runs": [run(0.2, {"yesitis": 0.5, "no": 0.1}), run(0.4, {"no": 0.3})]}
+    for name, x in (("m1", one), ("m2", many), ("other", {"a": 1})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x))
+    got = {r.name: r for r in R.read_results(spark, str(tmp_path), labels).collect()}
+    assert set(got) == {"m1", "m2"}
+    assert (got["m1"].macro_f1, got["m1"].std, got["m1"].seeds, tuple(got["m1"].per_class)) == (0.5, None, 1, (0.4, 0.6))
+    r = got["m2"]
+    assert [round(x, 9) for x in (r.macro_f1, r.std, r.accuracy, *r.per_class)] == [0.3, 0.1, 0.3, 0.25, 0.2] and r.seeds == 2
 
 
 def test_cached_vectors(spark):
@@ -91,4 +158,4 @@ def test_stream_replaces_documents(spark, tmp_path):
     for name, rows in (("1", [("a", 1), ("b", 1)]), ("2", [("b", 2)])):
         (source / f"{name}.json").write_text("".join(json.dumps({"doc_id": k, "n": n}) + "\n" for k, n in rows))
         stream_upserts(spark, str(source), schema, target, "doc_id", str(tmp_path / "cp"), order="n").awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(target).collect()} == {("a", 1), ("b", 2)}
+    assert {tuple(r) for r in W.read_table(spark, target).collect()} == {("a", 1), ("b", 2)}
