@@ -15,7 +15,7 @@ PAIRS = ["()", "‘’", "“”", "〈〉", "<>", "《》", "「」", "『』",
 ENDINGS = ["다.", "다", ".", "!", "?", "요.", "함.", "임.", "음."]
 #: Look-alike quotes, dots and dashes, and what they become.
 LOOKALIKES = ("‘’“”＇＂․∙―–—", "''\"\"'\"··---")
-#: Private-use characters: glyphs whose meaning is lost.
+#: Private-use characters, glyphs whose meaning is lost, and how headings begin.
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFD}]"
 HEADING = r"^(?:\d+(?:\.\d+)*|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|[가-힣])[.)]\s*\S"
 PDF_HEADING = r"^(?:\d+(?:\.\d+)*|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+)[.)]\s*\S"
@@ -44,6 +44,15 @@ def normalized(text: Column) -> Column:
     return squeeze(F.regexp_replace(t, r"""(?<=[가-힣.'")])\d{1,2}\)""", ""))
 
 
+#: Quotes, dots and dashes that verdicts and claims write differently.
+ALIKE = ("‘’“”․∙–—", "''\"\"··--")
+
+
+def alike(text: Column) -> Column:
+    """Form by which verdicts find their claim, after compatibility composition: glyphs and footnote marks stay."""
+    return squeeze(F.translate(F.coalesce(text, F.lit("")), *ALIKE))
+
+
 def is_heading(text: Column, pattern: str = HEADING, closed: tuple[str, ...] = ("다.",)) -> Column:
     t = F.trim(text)
     return t.rlike(pattern) & (F.length(t) <= 60) & ~_ends_in(t, closed)
@@ -136,7 +145,7 @@ def normalized_deck(deck: Column) -> Column:
 
 def slide_number(text: Column) -> Column:
     """The digits of a slide field as a number; 1 where there are none."""
-    return F.coalesce(F.expr("null").cast("int"), F.regexp_replace(text, r"[^0-9]", "").try_cast("int"), F.lit(1))
+    return F.coalesce(F.regexp_replace(text, r"[^0-9]", "").try_cast("int"), F.lit(1))
 
 
 def context_items(text: Column) -> Column:

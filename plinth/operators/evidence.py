@@ -29,25 +29,28 @@ def sentence_groups(sents: DataFrame, key: str, most: int = 3) -> DataFrame:
     return sents.select(key, F.explode(every).alias("g")).select(key, "g.n", "g.first", "g.text")
 
 
-def inner_word(evidence: Column) -> Column:
-    """The longest word, the first of equals, that is neither the first nor the last: where the evidence stands, it stands whole."""
+def inner_words(evidence: Column) -> Column:
+    """Words that are neither the first nor the last: where the evidence stands, they stand whole."""
     words = T.tokens(evidence)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    return F.nullif(longest, F.lit(""))
+    return F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
 
 
 def candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(item_id, key) that may hold together: by an inner word of the evidence or, where it has none, by its characters.
+    """(item_id, key) that may hold together: by the inner word of the evidence that fewest documents have or, where it has none, by its characters.
 
     sents: key, sents; words are those of the sentences, as groups have them.  A
     necessary condition for literal containment, found by an equi-join; without
     it every item would have to be compared with every document.
     """
-    e = evidence.withColumn("word", inner_word(T.squeeze(F.col("evidence"))))
+    e = evidence.select("item_id", "evidence", inner_words(T.squeeze(F.col("evidence"))).alias("inner"))
+    words = e.select("item_id", F.explode("inner").alias("word"))
     d = sents.select(key, F.explode(F.array_distinct(T.tokens(F.array_join("sents", " ")))).alias("word"))
-    found = d.join(e.where("word IS NOT NULL").select("item_id", "word"), "word").select("item_id", key)
-    return found.unionByName(unspaced_candidates(e.where("word IS NULL"), sents, key)).distinct()
+    often = d.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    # a word that no document has is the rarest
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")
+    rarest = words.join(often, "word", "left").groupBy("item_id").agg(F.min(rank)["word"].alias("word"))
+    found = d.join(rarest, "word").select("item_id", key)
+    return found.unionByName(unspaced_candidates(e.where(F.size("inner") == 0), sents, key)).distinct()
 
 
 def unspaced_candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,6 +111,31 @@ def find(pairs: DataFrame, evidence: DataFrame, sents: DataFrame, key: str, floo
     return exact.unionByName(loose).unionByName(fuzzy)
 
 
+def find_parts(pairs: DataFrame, evidence: DataFrame, sents: DataFrame, key: str, floor: float = 0.85) -> DataFrame:
+    """item_id, key, method, sent_ns (numbers of the sentences, in the order found) and score of every pair.
+
+    Evidence of several parts, set apart by ``||``, is looked for part by part:
+    the sentences are those of all parts, the score is the best, and the method
+    is none if any part is not found, else that of the last part that was not
+    found exactly, if there is one.
+    """
+    parts = F.filter(F.split("evidence", r"(?U)\s*\|\|\s*"), lambda p: F.trim(p) != "")
+    e = evidence.select("item_id", F.posexplode_outer(parts).alias("part", "evidence"))
+    e = e.select(F.struct("item_id", F.coalesce("part", F.lit(0)).alias("part")).alias("item_id"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+    p = pairs.join(e.select(F.col("item_id.item_id").alias("i"), F.col("item_id").alias("part")), F.col("item_id") == F.col("i"))
+    one = find(p.select(F.col("part").alias("item_id"), key), e, sents, key, floor)
+    found = one.select(
+        F.col("item_id.item_id").alias("item_id"), key,
+        F.struct(F.col("item_id.part").alias("part"), "method", "score", F.when(F.col("n").isNotNull(), F.sequence("first", F.col("first") + F.col("n") - 1)).alias("ids")).alias("x"),
+    )
+    all_ = found.groupBy("item_id", key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    methods = F.transform("x", lambda x: x["method"])
+    loose = F.filter(methods, lambda m: m != "exact")
+    method = F.when(F.array_contains(methods, "none"), "none").otherwise(F.coalesce(F.try_element_at(loose, F.lit(-1)), F.lit("exact")))
+    ids = F.array_distinct(F.flatten(F.filter(F.transform("x", lambda x: x["ids"]), lambda i: i.isNotNull())))
+    return all_.select("item_id", key, method.alias("method"), ids.alias("sent_ns"), F.array_max(F.transform("x", lambda x: x["score"])).alias("score"))
+
+
 def spans_for(wanted: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """wanted (id, key, want: sentence ids) with span_id of the spans that hold all of them or, if none does, any of them."""
     size = F.size(F.array_except("want", "sent_ids"))
@@ -116,10 +144,12 @@ def spans_for(wanted: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return both.withColumn("best", best).where("full = best").select("id", key, "span_id", "full")
 
 
-def overlap_spans(pairs: DataFrame, floor: float = 0.55, least: int = 8, slack: float = 0.05) -> DataFrame:
-    """pairs (id, span_id, evidence, text) whose span has the floor of the evidence's bigrams and is near the best."""
-    p = pairs.withColumn("want", T.bigrams(F.col("evidence"))).where(F.size("want") >= least)
-    share = F.size(F.array_intersect("want", T.bigrams(F.col("text")))) / F.size("want")
-    p = p.withColumn("share", F.round(share, 9)).where(F.col("share") >= floor)
+def overlap_spans(evidence: DataFrame, spans: DataFrame, scope: str, floor: float = 0.55, least: int = 8, slack: float = 0.05) -> DataFrame:
+    """(id, span_id, share) of evidence (scope, id, evidence) and spans (scope, span_id, text) that have the floor of its
+    bigrams and are near the best.  Bigrams are made once for each text, before the join."""
+    e = evidence.select(scope, "id", T.bigrams(F.col("evidence")).alias("want")).where(F.size("want") >= least)
+    s = spans.select(scope, "span_id", T.bigrams(F.col("text")).alias("have"))
+    share = F.round(F.size(F.array_intersect("want", "have")) / F.size("want"), 9)
+    p = e.join(s, scope).select("id", "span_id", share.alias("share")).where(F.col("share") >= floor)
     best = F.max("share").over(Window.partitionBy("id"))
     return p.withColumn("best", best).where(F.col("share") >= F.round(F.col("best") - slack, 9)).select("id", "span_id", "share")

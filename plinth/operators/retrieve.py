@@ -31,28 +31,56 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(claims: DataFrame, passages: DataFrame, scope: str, k1: float = K1, b: float = B) -> DataFrame:
-    """scope, claim_id, passage_id, ord, score of every passage in a claim's scope, also of those that score 0.
-
-    claims: scope, claim_id, claim_text; passages: scope, passage_id, ord, text.
-    """
+def bm25_sums(claims: DataFrame, passages: DataFrame, scope: str, k1: float = K1, b: float = B) -> DataFrame:
+    """scope, claim_id, passage_id, _score of those pairs that share a term."""
     post = postings(passages, scope, "passage_id", "text")
-    terms = post.groupBy(scope, "term").agg(F.count("*").alias("df")).join(scope_sizes(passages, scope, "text"), scope)
-    weights = post.join(terms, [scope, "term"]).select(
-        scope,
-        "term",
-        "passage_id",
-        (
-            idf(F.col("n"), F.col("df")) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        ).alias("w"),
+    post = post.withColumn("df", F.count("*").over(Window.partitionBy(scope, "term"))).join(scope_sizes(passages, scope, "text"), scope)
+    length = 1 - b + b * F.col("dl") / F.col("avgdl")
+    weights = post.select(
+        scope, "term", "passage_id", (idf(F.col("n"), F.col("df")) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * length)).alias("w")
     )
     asked = claims.select(scope, "claim_id", F.explode(T.tokens(F.col("claim_text"))).alias("term"))
     asked = asked.groupBy(scope, "claim_id", "term").agg(F.count("*").alias("qf"))
-    scores = asked.join(weights, [scope, "term"]).groupBy(scope, "claim_id", "passage_id").agg(F.sum(F.col("qf") * F.col("w")).alias("_score"))
-    pool = claims.select(scope, "claim_id").join(passages.select(scope, "passage_id", "ord"), scope)
-    return pool.join(scores, [scope, "claim_id", "passage_id"], "left").select(
-        scope, "claim_id", "passage_id", "ord", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("score")
-    )
+    return asked.join(weights, [scope, "term"]).groupBy(scope, "claim_id", "passage_id").agg(F.sum(F.col("qf") * F.col("w")).alias("_score"))
+
+
+def bm25(claims: DataFrame, passages: DataFrame, scope: str, depth: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """scope, claim_id, passage_id, ord, score of every passage in a claim's scope, also of those that score 0.
+
+    claims: scope, claim_id, claim_text; passages: scope, passage_id, ord, text.
+    depth: no more ranks are asked for, so of the passages that share no term
+    only those among the scope's first ``depth`` can count, and no others are
+    paired with the claims.
+    """
+    found = bm25_sums(claims, passages, scope, k1, b)
+    own = passages.select(scope, "passage_id", "ord")
+    if depth is None:
+        pool = claims.select(scope, "claim_id").join(own, scope).join(found, [scope, "claim_id", "passage_id"], "left")
+    else:
+        n = F.row_number().over(Window.partitionBy(scope).orderBy("ord", "passage_id"))
+        first = own.withColumn("_n", n).where(F.col("_n") <= depth).drop("_n")
+        none = claims.select(scope, "claim_id").join(first, scope).select(scope, "claim_id", "passage_id", F.lit(None).cast("double").alias("_score"))
+        pool = found.unionByName(none).groupBy(scope, "claim_id", "passage_id").agg(F.max("_score").alias("_score")).join(own, [scope, "passage_id"])
+    return pool.select(scope, "claim_id", "passage_id", "ord", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("score"))
+
+
+def both_ranks(claims: DataFrame, passages: DataFrame, scope: str, depth: int) -> DataFrame:
+    """claim_id, passage_id and the ranks sparse (BM25) and bigram, null beyond depth, in one pass over the pairs of a scope."""
+    pairs = bigram_overlap(claims, passages, scope).withColumnRenamed("score", "bi")
+    pairs = pairs.join(bm25_sums(claims, passages, scope), [scope, "claim_id", "passage_id"], "left")
+    pairs = pairs.withColumn("sp", F.round(F.coalesce("_score", F.lit(0.0)), 9))
+    place = lambda c: F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc(c), "ord", "passage_id"))
+    cut = lambda c: F.when(F.col(c) <= depth, F.col(c)).alias(c)
+    ranks = pairs.select("claim_id", "passage_id", place("sp").alias("sparse"), place("bi").alias("bigram"))
+    return ranks.where((F.col("sparse") <= depth) | (F.col("bigram") <= depth)).select("claim_id", "passage_id", cut("sparse"), cut("bigram"))
+
+
+def fused_ranks(both: DataFrame, sparse: float, bigram: float, k: int = RRF_K) -> DataFrame:
+    """both_ranks with score and rank of their fusion, as ``fused`` has them, without another shuffle."""
+    share = lambda c, w: F.coalesce(w / (k + F.col(c)), F.lit(0.0))
+    s = both.withColumn("_x", F.round(share("sparse", sparse) + share("bigram", bigram), 12))
+    w = Window.partitionBy("claim_id").orderBy(F.desc("_x"), F.col("sparse").isNull(), F.coalesce("sparse", "bigram"))
+    return s.withColumn("rank", F.row_number().over(w)).withColumn("score", F.round("_x", 9)).drop("_x")
 
 
 def bigram_overlap(claims: DataFrame, passages: DataFrame, scope: str) -> DataFrame:

@@ -39,7 +39,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def sparse_run(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     claims, passages = sides(spark, sf_dir)
-    return R.ranked(R.bm25(claims, passages, "conv_id"), depth)
+    return R.ranked(R.bm25(claims, passages, "conv_id", depth), depth)
 
 
 def bigram_run(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
@@ -47,6 +47,16 @@ def bigram_run(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFram
     return R.ranked(R.bigram_overlap(claims, passages, "conv_id"), depth)
 
 
+def both_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_id, passage_id, sparse, bigram: ranks of both retrievers, found in one pass."""
+    return R.both_ranks(*sides(spark, sf_dir), "conv_id", DEPTH)
+
+
+def hybrid_run(spark: SparkSession, sf_dir: str, a: float = 0.5, b: float = 0.5) -> DataFrame:
+    """claim_id, passage_id, score, rank of the fusion of both."""
+    return R.fused_ranks(both_runs(spark, sf_dir), a, b).select("claim_id", "passage_id", "score", "rank")
+
+
 def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """claim_id, passage_id: the assistant turn right after a claim."""
     claims, passages = sides(spark, sf_dir)
@@ -156,7 +166,7 @@ def dense_label_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rrf(name: str, a: float, b: float):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return R.fused([(sparse_run(spark, sf_dir), a), (bigram_run(spark, sf_dir), b)])
+        return hybrid_run(spark, sf_dir, a, b)
 
     run.__name__ = name
     run.__doc__ = f"A5, O3: reciprocal rank fusion of two retrievers, weights {a} and {b}."
@@ -170,13 +180,10 @@ _rrf("rrf_dense_heavy", 0.3, 0.7)
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """method, claim_id, passage_id, rank of both retrievers and their even fusion."""
-    a, b = sparse_run(spark, sf_dir), bigram_run(spark, sf_dir)
-    c = R.fused([(a, 0.5), (b, 0.5)])
-    out = None
-    for name, r in (("bm25", a), ("bigram", b), ("hybrid", c)):
-        r = r.select(F.lit(name).alias("method"), "claim_id", "passage_id", "rank")
-        out = r if out is None else out.unionByName(r)
-    return out
+    every = R.fused_ranks(both_runs(spark, sf_dir), 0.5, 0.5)
+    names = {"bm25": "sparse", "bigram": "bigram", "hybrid": "rank"}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("rank")) for m, c in names.items()])).alias("r")
+    return every.select("claim_id", "passage_id", each).select("r.method", "claim_id", "passage_id", "r.rank").where("rank IS NOT NULL")
 
 
 EVAL = f"""{CONV}, {_fused_cte('fused', 0.5, 0.5)},
@@ -247,7 +254,7 @@ FROM fused f JOIN passages p USING (passage_id) WHERE f.rank <= 5 GROUP BY f.cla
 )
 def candidates_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their texts, nested in order of rank, written as JSON."""
-    run = R.fused([(sparse_run(spark, sf_dir), 0.5), (bigram_run(spark, sf_dir), 0.5)])
+    run = hybrid_run(spark, sf_dir)
     n = D.nested_candidates(run, sides(spark, sf_dir)[1])
     slim = F.transform("candidates", lambda c: F.struct(c["rank"].alias("rank"), c["passage_id"].alias("passage_id"), c["text"].alias("text")))
     return n.select("claim_id", F.to_json(slim).alias("candidates"))
@@ -261,7 +268,7 @@ SELECT claim_id, CASE WHEN score >= 0.016 THEN '근거 있음' ELSE '무근거'
 )
 def online_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML8: the best passage is shown with verdicts that need one; a stand-in threshold serves as judge."""
-    run = R.fused([(sparse_run(spark, sf_dir), 0.5), (bigram_run(spark, sf_dir), 0.5)]).where("rank = 1")
+    run = hybrid_run(spark, sf_dir).where("rank = 1")
     top = run.join(sides(spark, sf_dir)[1], "passage_id")
     yes = F.col("score") >= 0.016
     return top.select("claim_id", F.when(yes, "근거 있음").otherwise("무근거").alias("verdict"), F.when(yes, F.col("text")).otherwise("-").alias("evidence"))
@@ -276,10 +283,8 @@ SELECT id, span_id, share FROM (SELECT *, max(share) OVER (PARTITION BY id) AS b
 def evidence_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8, STR5: passages of the conversation that hold most of a claim's bigrams, near the best."""
     claims, passages = sides(spark, sf_dir)
-    pairs = claims.select("conv_id", F.col("claim_id").alias("id"), F.col("claim_text").alias("evidence")).join(
-        passages.select("conv_id", F.col("passage_id").alias("span_id"), "text"), "conv_id"
-    )
-    return V.overlap_spans(pairs)
+    e = claims.select("conv_id", F.col("claim_id").alias("id"), F.col("claim_text").alias("evidence"))
+    return V.overlap_spans(e, passages.select("conv_id", F.col("passage_id").alias("span_id"), "text"), "conv_id")
 
 
 @query()
@@ -346,21 +351,43 @@ def candidate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_candidates(c, r)
 
 
+VERDICTS = """
+verdicts AS (
+  SELECT conv_id * 1000 + turn AS ord, CASE WHEN turn % 3 = 0 THEN '' ELSE 'lost-' END || claim_id AS verdict_id,
+    CASE (conv_id + turn) % 4 WHEN 0 THEN claim_text WHEN 1 THEN replace(claim_text, ' ', '  ') WHEN 2 THEN replace(claim_text, ' ', '') ELSE 'not ' || claim_text END AS claim_text
+  FROM claims UNION ALL
+  SELECT conv_id * 1000 + turn + 500, 'again-' || claim_id, claim_text FROM claims WHERE conv_id % 2 = 0)"""
+
+
 @query(
-    f"""WITH {CONV}
-SELECT claim_id, CASE WHEN length(claim_text) % 2 = 0 THEN 'claim_id' ELSE 'text' END AS matched_by,
-  CASE WHEN length(claim_text) % 2 = 0 THEN claim_id
-  ELSE (SELECT min(o.claim_id) FROM claims o WHERE o.claim_text = c.claim_text) END AS gold_id FROM claims c"""
+    f"""WITH {CONV}, {VERDICTS},
+t AS (SELECT claim_text AS t, arg_min(claim_id, conv_id * 1000 + turn) AS g FROM claims GROUP BY 1),
+n AS (SELECT replace(claim_text, ' ', '') AS t, arg_min(claim_id, conv_id * 1000 + turn) AS g FROM claims GROUP BY 1),
+m AS (
+  SELECT v.ord, v.verdict_id, c.claim_id AS by_id, t.g AS by_text, n.g AS by_ns FROM verdicts v LEFT JOIN claims c ON c.claim_id = v.verdict_id
+  LEFT JOIN t ON t.t = trim(regexp_replace(v.claim_text, '\\s+', ' ', 'g')) LEFT JOIN n ON n.t = replace(v.claim_text, ' ', '')),
+k AS (SELECT *, coalesce(by_id, by_text, by_ns) AS g, row_number() OVER (PARTITION BY coalesce(by_id, by_text, by_ns) ORDER BY ord, verdict_id) AS k FROM m)
+SELECT verdict_id, CASE WHEN by_id IS NOT NULL THEN 'claim_id' WHEN g IS NULL OR k > 1 THEN 'none' WHEN by_text IS NOT NULL THEN 'claim_text' ELSE 'nospace' END AS how,
+  CASE WHEN by_id IS NOT NULL OR k = 1 THEN g END AS gold_id FROM k"""
 )
 def verdict_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts that lost their id (here those of odd length) find their claim by its text."""
-    claims = sides(spark, sf_dir)[0].select("claim_id", "claim_text")
-    has_id = F.length("claim_text") % 2 == 0
-    by_text = claims.groupBy("claim_text").agg(F.min("claim_id").alias("t"))
-    v = claims.join(by_text, "claim_text")
-    return v.select(
-        "claim_id", F.when(has_id, "claim_id").otherwise("text").alias("matched_by"), F.when(has_id, F.col("claim_id")).otherwise(F.col("t")).alias("gold_id")
+    """J13, STR20: verdicts find their claim by id, else by its text, else by its text without spaces; by text each claim is found once.
+
+    The verdicts are the claims of the conversations: two in three have lost their id, and some their spacing or wording.
+    """
+    claims = sides(spark, sf_dir)[0].withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    text = F.col("claim_text")
+    kind = F.expr("(conv_id + turn) % 4")
+    said = (
+        F.when(kind == 0, text)
+        .when(kind == 1, F.replace(text, F.lit(" "), F.lit("  ")))
+        .when(kind == 2, F.replace(text, F.lit(" "), F.lit("")))
+        .otherwise(F.concat(F.lit("not "), text))
     )
+    lost = F.when(F.col("turn") % 3 == 0, "").otherwise("lost-")
+    first = claims.select("ord", F.concat(lost, "claim_id").alias("verdict_id"), said.alias("claim_text"))
+    again = claims.where("conv_id % 2 = 0").select(F.col("ord") + 500, F.concat(F.lit("again-"), "claim_id"), "claim_text")
+    return D.match_verdicts(first.union(again), claims.select("ord", "claim_id", "claim_text"))
 
 
 @query(
