@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions import text as T
+from plinth.functions.udfs import nfkc
+
 
 def claim_id(deck: Column, slide: Column, n: Column) -> Column:
     return F.format_string("%s_s%02d_c%02d", deck.cast("string"), slide, n)
@@ -70,6 +73,18 @@ def clean(test: DataFrame, train: DataFrame, key: str) -> DataFrame:
     return test.join(train.select(key).distinct(), key, "left_anti")
 
 
+def held_out_in(rows: DataFrame, held_out: Column) -> DataFrame:
+    """Rows of a part that is kept apart."""
+    return rows.where(F.coalesce(held_out, F.lit(False)))
+
+
+def no_leak(rows: DataFrame, held_out: Column) -> DataFrame:
+    """The rows themselves; an error if any is of the part that is kept apart."""
+    if not held_out_in(rows, held_out).isEmpty():
+        raise ValueError("training holds rows of the part kept apart")
+    return rows
+
+
 def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """key, left, right of settings (key, value) that differ or that only one side has."""
     both = a.withColumnRenamed("value", "left").join(b.withColumnRenamed("value", "right"), "key", "full_outer")
@@ -123,3 +138,57 @@ def judge_input(claim: Column, title: Column, context: Column, candidates: Colum
     tail = F.flatten(F.transform(F.filter(cands, lambda c: F.size(c) > 0), lambda c: F.concat(c, sep)))
     ids = F.concat(F.array(F.lit("[CLS]")), block(claim, caps[0]), sep, block(around, caps[1]), sep, tail)
     return F.slice(ids, 1, most)
+
+
+def match_verdicts(verdicts: DataFrame, gold: DataFrame) -> DataFrame:
+    """verdict_id, how (claim_id, claim_text, nospace or none) and gold_id of verdicts (ord, verdict_id, claim_text).
+
+    gold: ord, claim_id, claim_text.  A verdict that names a claim has it.
+    Others look for the first claim of their text, else of their text without
+    spaces, and have it if no verdict before them has come to it.
+    """
+    form = T.alike(nfkc("claim_text"))
+    g = gold.select("ord", "claim_id", form.alias("t")).withColumn("n", T.unspaced(F.col("t")))
+    of = lambda c: g.groupBy(F.col(c).alias(f"_{c}")).agg(F.min(F.struct("ord", "claim_id"))["claim_id"].alias(f"by_{c}"))
+    v = verdicts.select("ord", "verdict_id", form.alias("_t")).withColumn("_n", T.unspaced(F.col("_t")))
+    v = v.join(gold.select(F.col("claim_id").alias("by_id")).distinct(), F.col("verdict_id") == F.col("by_id"), "left")
+    v = v.join(of("t"), "_t", "left").join(of("n"), "_n", "left")
+    v = v.withColumn("g", F.coalesce("by_id", "by_t", "by_n"))
+    v = v.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("ord", "verdict_id")))
+    named, free = F.col("by_id").isNotNull(), F.col("g").isNotNull() & (F.col("k") == 1)
+    how = F.when(named, "claim_id").when(~free, "none").when(F.col("by_t").isNotNull(), "claim_text").otherwise("nospace")
+    return v.select("verdict_id", how.alias("how"), F.when(named | free, F.col("g")).alias("gold_id"))
+
+
+def judgment_context(judgments: DataFrame, sents: DataFrame, extra: DataFrame, key: str, around: int = 1) -> DataFrame:
+    """judgments (key, ref) with core, context and place: the sentence that ref names between its neighbours, else the extra text of that name.
+
+    sents: key, sents (array); extra: key, name, text, note.
+    """
+    n = F.regexp_extract("ref", r"^s(\d+)$", 1).try_cast("int")
+    j = judgments.join(sents, key, "left").withColumn("_n", n)
+    has = F.col("_n").between(F.lit(1), F.size("sents"))
+    low = F.greatest(F.col("_n") - around, F.lit(1))
+    j = j.join(extra.withColumnRenamed("name", "ref"), [key, "ref"], "left")
+    core = F.when(has, F.try_element_at("sents", F.when(F.col("_n") > 0, F.col("_n")))).otherwise(F.coalesce("text", F.lit("")))
+    near = F.array_join(F.slice("sents", F.greatest(low, F.lit(1)), F.greatest(F.col("_n") + around - low + 1, F.lit(0))), " ")
+    place = F.when(has, F.col("ref")).when(F.col("text").isNotNull(), "extra").otherwise("")
+    context = F.when(has, near).otherwise(F.coalesce("note", F.lit("")))
+    return j.select(*judgments.columns, core.alias("core"), context.alias("context"), place.alias("place"))
+
+
+def rejected(rows: DataFrame, known: Column, by: str, value: str) -> DataFrame:
+    """kind (``by`` or ``value``), name, n: rows that are not known, counted by group and by what stands there."""
+    bad = rows.where(~F.coalesce(known, F.lit(False)))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("name")) for c in (by, value)])).alias("r")
+    return bad.select(each).groupBy("r.kind", "r.name").agg(F.count("*").alias("n"))
+
+
+def best_mode(modes: DataFrame, key: str, pattern: str) -> DataFrame:
+    """key, mode, ratio, sents: of several readings (key, mode, sents) of a document the one with most sentences that end as the
+    pattern has it; headings do not count, and the first of equals is taken."""
+    body = F.filter("sents", lambda s: ~T.is_heading(s))
+    ratio = F.when(F.size(body) > 0, F.size(F.filter(body, lambda s: F.trim(s).rlike(pattern))) / F.size(body)).otherwise(0.0)
+    m = modes.select(key, "mode", F.round(ratio, 9).alias("ratio"), F.size(body).alias("n"))
+    best = F.max(F.struct("ratio", (-F.col("mode")).alias("first"), "n")).alias("b")
+    return m.groupBy(key).agg(best).select(key, (-F.col("b.first")).alias("mode"), F.col("b.ratio").alias("ratio"), F.col("b.n").alias("sents"))

@@ -16,6 +16,8 @@ ALIASES = {
     "Benign": "Benign", "benign": "Benign", "benign_true": "Benign", "상식참": "Benign",
 }
 SEVERITY = {"모순": 3, "무근거": 2, "근거 있음": 1, "Benign": 0}
+#: The two labels that a check of support must not miss.
+GRAVE = ["무근거", "모순"]
 CUTOFFS = (1, 3, 5, 10)
 
 
@@ -88,21 +90,35 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, "n", r(F.col("a"), "accuracy"), r(F.col("m"), "macro_f1"), r(F.col("a") - half, "acc_low"), r(F.col("a") + half, "acc_high"))
 
 
+def bootstrap_draws(names: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """resample, name, times: how often each of the distinct names (name) is drawn; each resample draws as many as there are.
+
+    Names are numbered by buckets and the counts of the buckets before, and each
+    slot of a resample draws a number by its hash, so no task holds all names.
+    """
+    b = names.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(64)))
+    sizes = b.groupBy("b").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("n").over(Window.partitionBy())
+    sizes = sizes.select("b", F.coalesce(before, F.lit(0)).alias("base"), total.alias("all"))  # 64 rows
+    numbered = b.join(F.broadcast(sizes), "b")
+    k = F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy("name")) - 1
+    numbered = numbered.select("name", k.alias("k"), "all")
+    each = numbered.select("k", "all", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    drawn = each.select("resample", F.pmod(F.xxhash64(F.lit(seed), "resample", "k"), F.col("all")).alias("k"))
+    times = drawn.groupBy("resample", "k").agg(F.count("*").alias("times"))
+    return times.join(numbered.select("name", "k"), "k").select("resample", "name", "times")
+
+
 def bootstrap_macro_f1(rows: DataFrame, cluster: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """low and high: 2.5 and 97.5 percentiles of macro-F1 over resamples of clusters.
+    """low and high: 2.5 and 97.5 percentiles of macro-F1 over resamples of clusters, which are drawn with replacement.
 
     Clusters first become counts of (truth, predicted), so what a resample needs
-    grows with clusters, not rows.  Each cluster draws its Poisson weight for
-    each resample from a hash, so that no task holds all clusters: the number of
-    times that a cluster is drawn is independent of the others.
+    grows with clusters, not rows.
     """
-    counts = rows.groupBy(cluster, "truth", "predicted").agg(F.count("*").alias("n"))
-    draws = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("resample")), F.lit(1 << 52)) / float(1 << 52)
-    # inverse of the Poisson(1) distribution function
-    limits = reduce(lambda a, k: [*a, a[-1] + 0.36787944117144233 / reduce(lambda x, y: x * y, range(1, k + 1))], range(1, 8), [0.36787944117144233])
-    weight = reduce(lambda a, x: a + (u >= x).cast("int"), limits, F.lit(0))
-    w = counts.select("*", draws).withColumn("w", weight * F.col("n")).where("w > 0")
+    counts = rows.groupBy(F.col(cluster).alias("name"), "truth", "predicted").agg(F.count("*").alias("n"))
+    draws = bootstrap_draws(counts.where("name IS NOT NULL").select("name").distinct(), resamples, seed)
+    w = counts.join(draws, "name").select("resample", "truth", "predicted", (F.col("times") * F.col("n")).alias("w"))
     cells = w.groupBy("resample", "truth", "predicted").agg(F.sum("w").alias("w"))
     f1 = []
     for label in LABELS:

@@ -295,6 +295,43 @@ def sentence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("k.source").agg(F.round(F.avg(good), 6).alias("ratio"), F.sum(F.size("sents")).alias("sents"))
 
 
+HEADED = r"(regexp_matches(x, '^(?:\d+(?:\.\d+)*|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|[가-힣])[.)]\s*\S') AND length(x) <= 60 AND NOT ends_with(x, '다.'))"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, 0 AS mode, text FROM documents UNION ALL SELECT doc_id, 1, replace(text, E'\n', ' ') FROM documents UNION ALL SELECT doc_id, 2, substr(text, 1, n_chars // 2) FROM documents),
+s AS (SELECT doc_id, mode, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '' AND NOT {HEADED}) AS s FROM t),
+r AS (SELECT doc_id, mode, len(s) AS n, CASE WHEN len(s) > 0 THEN round(len(list_filter(s, lambda x: regexp_matches(x, '[.!?]$'))) / len(s), 9) ELSE 0.0 END AS ratio FROM s)
+SELECT doc_id, mode::INTEGER AS mode, ratio, n::INTEGER AS sents FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, mode) = 1"""
+)
+def extraction_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three readings of a document (as it is, on one line, its first half) the one whose sentences are most often whole."""
+    d = documents(spark, sf_dir)
+    texts = [F.col("text"), F.replace("text", F.lit("\n"), F.lit(" ")), F.substr("text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))]
+    modes = d.select("doc_id", F.posexplode(F.array(*texts)).alias("mode", "text"))
+    arrays = S.sentence_arrays(modes.withColumn("k", F.struct("doc_id", "mode")), "k").select("k.doc_id", "k.mode", "sents")
+    return D.best_mode(arrays, "doc_id", r"[.!?]$")
+
+
+@query(
+    rf"""WITH {SENTS}, j AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x' || doc_id % 40 WHEN 1 THEN '-' ELSE printf('s%03d', doc_id % 7 + 1) END AS ref FROM labels),
+k AS (SELECT j.doc_id, ref, s, try_cast(nullif(regexp_extract(ref, '^s(\d+)$', 1), '') AS INTEGER) AS n, b.text, 'item ' || b.item_id AS note
+  FROM j LEFT JOIN sents USING (doc_id) LEFT JOIN benchmark b ON 'x' || b.item_id = ref)
+SELECT doc_id, ref, CASE WHEN n BETWEEN 1 AND len(s) THEN s[n] ELSE coalesce(text, '') END AS core,
+  CASE WHEN n BETWEEN 1 AND len(s) THEN array_to_string(s[greatest(n - 1, 1):n + 1], ' ') ELSE coalesce(note, '') END AS context,
+  CASE WHEN n BETWEEN 1 AND len(s) THEN ref WHEN text IS NOT NULL THEN 'extra' ELSE '' END AS place FROM k"""
+)
+def judgment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged documents with the sentence that the judgment names, its neighbours, or the extra text of that name (here of `benchmark`)."""
+    id = F.col("doc_id")
+    ref = F.when(id % 5 == 0, F.concat(F.lit("x"), (id % 40).cast("string"))).when(id % 5 == 1, "-").otherwise(F.format_string("s%03d", id % 7 + 1))
+    j = table(spark, sf_dir, "labels").select("doc_id", ref.alias("ref"))
+    named = F.concat(F.lit("x"), F.col("item_id").cast("string"))
+    extra = table(spark, sf_dir, "benchmark").select(named.alias("ref"), "text", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("note"))
+    extra = j.select("doc_id", "ref").distinct().join(extra, "ref").withColumnRenamed("ref", "name")
+    return D.judgment_context(j, S.sentence_arrays(documents(spark, sf_dir)), extra, "doc_id")
+
+
 @query(
     r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, least(len(w), 64) + 3 + least(greatest(len(w) - 64, 0), 64) + (CASE WHEN len(w) > 64 THEN 1 ELSE 0 END) AS n FROM w)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import text as T
@@ -10,18 +10,27 @@ from plinth.operators import dataset as D
 from plinth.operators import evaluate as E
 from plinth.plans import retrieval as R
 from plinth.plans.pages import KEPT, items
-from plinth.plans.registry import query, table, values
+from plinth.plans.registry import query, table
 
-ID_ROWS = [
-    (1, "arts_01__claudecode_s03_c12", "arts_01__claudecode", "1", None), (2, "bio_02__x__gamma", "bio_02__x__gamma", " 1 (test)", "?"),
-    (3, "plain", "socio-7", "12", "bio"), (4, "tech_02_w3_001", "tech_02", "", ""), (5, None, None, None, "fin?"), (6, "x_s1_c2_more", "finance_03__tool", "1", None),
-]
 _DOMAIN_SQL = " ".join(f"WHEN starts_with(deck, '{k}') THEN '{v}'" for k, v in T.DOMAINS.items())
-ID_KIND = "id long, claim string, deck string, marker string, domain string"
+#: Documents with ids, markers and domains as people write them.
+RAW_IDS = """m AS (
+  SELECT doc_id AS id, source || CASE doc_id % 3 WHEN 0 THEN '__toola' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '_s0' || doc_id % 9 || '_c' || doc_id % 40 END AS claim,
+    CASE doc_id % 5 WHEN 0 THEN 'arts_01__toola' WHEN 1 THEN 'bio_02__x__' || source WHEN 2 THEN 'socio-7' WHEN 3 THEN source END AS deck,
+    CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN ' 1 (test)' WHEN 2 THEN '12' WHEN 3 THEN '' WHEN 4 THEN lang END AS marker,
+    CASE doc_id % 4 WHEN 1 THEN '?' WHEN 2 THEN lang WHEN 3 THEN '' END AS domain FROM documents)"""
+
+
+def _case(n: int, *values) -> Column:
+    """The value at the place of doc_id's remainder; null beyond."""
+    out = F.lit(None).cast("string")
+    for k, v in enumerate(values):
+        out = F.when(F.col("doc_id") % n == k, v).otherwise(out)
+    return out
 
 
 @query(
-    rf"""WITH {values('m', ID_KIND, ID_ROWS)}
+    rf"""WITH {RAW_IDS}
 SELECT id, nullif(regexp_extract(claim, '_(s\d+_c\d+)$', 1), '') AS suffix,
   CASE WHEN contains(deck, '__') THEN split_part(deck, '__', -1) END AS tool, CASE WHEN contains(deck, '__') THEN split_part(deck, '__', 1) END AS doc,
   coalesce(regexp_matches(marker, '^\s*1(\D|$)'), false) AS is_test,
@@ -29,7 +38,15 @@ SELECT id, nullif(regexp_extract(claim, '_(s\d+_c\d+)$', 1), '') AS suffix,
 )
 def id_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR9, STR19, F9, P9: what ids, markers and domains say."""
-    m = spark.createDataFrame(ID_ROWS, ID_KIND)
+    id = F.col("doc_id")
+    tail = F.concat(F.lit("_s0"), (id % 9).cast("string"), F.lit("_c"), (id % 40).cast("string"))
+    m = table(spark, sf_dir, "documents").select(
+        id.alias("id"),
+        F.concat("source", F.when(id % 3 == 0, "__toola").otherwise(""), F.when(id % 4 == 0, "").otherwise(tail)).alias("claim"),
+        _case(5, F.lit("arts_01__toola"), F.concat(F.lit("bio_02__x__"), "source"), F.lit("socio-7"), F.col("source")).alias("deck"),
+        _case(6, F.lit("1"), F.lit(" 1 (test)"), F.lit("12"), F.lit(""), F.col("lang")).alias("marker"),
+        _case(4, F.lit(None).cast("string"), F.lit("?"), F.col("lang"), F.lit("")).alias("domain"),
+    )
     two = F.contains("deck", F.lit("__"))
     return m.select(
         "id",
@@ -48,7 +65,7 @@ SELECT claim_id, count(*) FILTER (rank <= 5) AS taken, count(*) FILTER (rank <=
 )
 def candidate_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the first five candidates, of these the ones that are not blank (here every other passage is blanked)."""
-    run = R.R.fused([(R.sparse_run(spark, sf_dir), 0.5), (R.bigram_run(spark, sf_dir), 0.5)])
+    run = R.hybrid_run(spark, sf_dir)
     p = R.sides(spark, sf_dir)[1].select("passage_id", F.when(F.col("ord") % 4 == 1, " ").otherwise(F.col("text")).alias("text"))
     all_of = run.join(p, "passage_id").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     taken = F.slice("c", 1, 5)
@@ -87,7 +104,7 @@ def dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value)::INTEGER AS place FROM f GROUP BY field, value"""
 )
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values by how often they occur."""
+    """Values by how often they occur; what is ranked are counts, a row for each value of fields that have few."""
     d, c = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
     one = lambda t, f: t.groupBy(F.lit(f).alias("field"), F.col(f).alias("value")).agg(F.count("*").alias("n"))
     every = one(d, "lang").unionByName(one(d, "source")).unionByName(one(c, "role"))
@@ -129,37 +146,39 @@ def slide_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR7, W8, O1: claims of a slide, each once, from where it is first seen."""
     from plinth.operators.layout import without_page_numbers
 
-    i = without_page_numbers(items(spark)).select("deck_id", "slide", "item_id", F.explode(T.bullet_claims(F.col("text"))).alias("claim"))
+    i = without_page_numbers(items(spark, sf_dir)).select("deck_id", "slide", "item_id", F.explode(T.bullet_claims(F.col("text"))).alias("claim"))
     return D.first_seen(i, ["deck_id", "slide", "claim"], "item_id").select("deck_id", "slide", "claim", "item_id")
 
 
-CELLS = [("t", 1, ["항목", "", "값"], None), ("t", 2, ["가", "나", None], None), ("c", 1, ["1961", "1967"], "이주"), ("c", 2, ["3"], "")]
-
-
 @query(
-    """WITH m AS (SELECT * FROM (VALUES ('t', 1, ['항목', '', '값'], NULL), ('t', 2, ['가', '나', NULL], NULL), ('c', 1, ['1961', '1967'], '이주'), ('c', 2, ['3'], '')) AS t(kind, id, cells, series))
-SELECT kind, id::INTEGER AS id, CASE WHEN coalesce(series, '') <> '' THEN series || ': ' ELSE '' END || array_to_string(list_filter(cells, lambda x: coalesce(x, '') <> ''), ' | ') AS line FROM m"""
+    """WITH m AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
+c AS (SELECT conv_id, turn, [w[1], '', w[2], NULL, w[3]] AS cells, CASE turn % 3 WHEN 0 THEN w[4] WHEN 1 THEN '' END AS series FROM m)
+SELECT conv_id, turn, CASE WHEN coalesce(series, '') <> '' THEN series || ': ' ELSE '' END || array_to_string(list_filter(cells, lambda x: coalesce(x, '') <> ''), ' | ') AS line FROM c"""
 )
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR18: rows of tables and charts as one line."""
-    m = spark.createDataFrame(CELLS, "kind string, id int, cells array<string>, series string")
+    """STR18: rows of tables and charts as one line; the cells are words of turns, some of them empty or missing."""
+    w = lambda i: F.get(F.split("text", " "), F.lit(i))
+    m = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.array(w(0), F.lit(""), w(1), F.lit(None).cast("string"), w(2)).alias("cells"),
+        F.when(F.col("turn") % 3 == 0, w(3)).when(F.col("turn") % 3 == 1, "").alias("series"),
+    )
     cells = F.array_join(F.filter("cells", lambda x: F.coalesce(x, F.lit("")) != ""), " | ")
     series = F.when(F.coalesce("series", F.lit("")) != "", F.concat("series", F.lit(": "))).otherwise("")
-    return m.select("kind", "id", F.concat(series, cells).alias("line"))
-
-
-DECK_PAIRS = [("arts_01", "arts01__x"), ("arts_01", "arts_01"), ("bio_02", "bio_02_extra"), ("socio", "tech_1"), ("tech_1", "ech1")]
+    return m.select("conv_id", "turn", F.concat(series, cells).alias("line"))
 
 
 @query(
-    f"""WITH {values('m', 'a string, b string', DECK_PAIRS)}, n AS (SELECT a, b, replace(a, '_', '') AS x, replace(b, '_', '') AS y FROM m)
-SELECT a, b, CASE WHEN x = y THEN 'equal' WHEN contains(y, x) OR contains(x, y) THEN 'part' ELSE 'none' END AS match FROM n"""
+    """WITH m AS (SELECT doc_id AS id, source AS a, CASE doc_id % 4 WHEN 0 THEN source || '__x' WHEN 1 THEN replace(source, 'src', 's_rc') WHEN 2 THEN 'src' || doc_id % 20 ELSE substr(source, 2) END AS b FROM documents),
+n AS (SELECT id, a, b, replace(a, '_', '') AS x, replace(b, '_', '') AS y FROM m)
+SELECT id, a, b, CASE WHEN x = y THEN 'equal' WHEN contains(y, x) OR contains(x, y) THEN 'part' ELSE 'none' END AS match FROM n"""
 )
 def deck_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are equal, or of which one holds the other, once underscores are gone."""
-    m = spark.createDataFrame(DECK_PAIRS, "a string, b string")
+    src = F.col("source")
+    b = _case(4, F.concat(src, F.lit("__x")), F.replace(src, F.lit("src"), F.lit("s_rc")), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")), F.substring(src, 2, 1 << 20))
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), src.alias("a"), b.alias("b"))
     x, y = (F.replace(F.col(c), F.lit("_"), F.lit("")) for c in "ab")
-    return m.select("a", "b", F.when(x == y, "equal").when(F.contains(y, x) | F.contains(x, y), "part").otherwise("none").alias("match"))
+    return m.select("id", "a", "b", F.when(x == y, "equal").when(F.contains(y, x) | F.contains(x, y), "part").otherwise("none").alias("match"))
 
 
 @query(
@@ -196,8 +215,8 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, source FROM documents WHERE source LIKE 'finance%' AND doc_id % 5 < 3"""
+    """SELECT doc_id, source FROM documents WHERE source = 'src0' AND doc_id % 5 < 3"""
 )
 def leak_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: rows of the domain kept for generalization that stand in training; there must be none."""
-    return table(spark, sf_dir, "documents").where("source LIKE 'finance%' AND doc_id % 5 < 3").select("doc_id", "source")
+    """F8: rows of the domain kept for generalization, src0, that a split by id alone puts into training; ``D.no_leak`` raises if there are any."""
+    return D.held_out_in(table(spark, sf_dir, "documents").where("doc_id % 5 < 3"), F.col("source") == "src0").select("doc_id", "source")

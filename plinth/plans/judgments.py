@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import text as T
+from plinth.operators import dataset as D
 from plinth.operators import evaluate as E
-from plinth.plans.registry import query, table, values
+from plinth.plans.registry import literal, query, table
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +99,10 @@ def domain_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {JUDGED}, {_scores('source')} SELECT source, label FROM f WHERE f1 = 0")
+@query(f"WITH {JUDGED}, {_scores('source')} SELECT source, label FROM f WHERE f1 = 0 AND label IN ('무근거', '모순')")
 def zero_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A25, for all four labels: sources and labels without a right answer."""
-    return E.class_scores(judged(spark, sf_dir), ["source"]).where("f1 = 0").select("source", "label")
+    """Sources without a right answer for one of the two labels that matter most."""
+    return E.class_scores(judged(spark, sf_dir), ["source"]).where((F.col("f1") == 0) & F.col("label").isin(*E.GRAVE)).select("source", "label")
 
 
 @query()
@@ -195,52 +196,73 @@ def fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MESSY = [
-    (1, "근거있음"), (2, " 근거 있음 "), (3, "Supported"), (4, "무근거"), (5, "UNSUPPORTED"), (6, "모순"), (7, "contradiction"), (8, "benign"),
-    (9, "Benign"), (10, "nan"), (11, ""), (12, None), (13, "기타 의견"), (14, "상식참"), (15, "충돌"),
+    "근거있음", " 근거 있음 ", "Supported", "무근거", "UNSUPPORTED", "모순", "contradiction", "benign", "Benign", "nan", "", None, "기타 의견", "상식참", "충돌",
 ]
+#: Labels as people type them, one for each labelled document.
+RAW_LABELS = f"m AS (SELECT doc_id AS id, [{', '.join(map(literal, MESSY))}][doc_id % {len(MESSY)} + 1] AS label FROM labels)"
 _ALIAS_SQL = ", ".join(f"('{k}', '{v}')" for k, v in E.ALIASES.items())
 
 
 @query(
-    f"""WITH {values('m', 'id long, label string', MESSY)}, a AS (SELECT * FROM (VALUES {_ALIAS_SQL}) AS t(k, v))
+    f"""WITH {RAW_LABELS}, a AS (SELECT * FROM (VALUES {_ALIAS_SQL}) AS t(k, v))
 SELECT m.id, coalesce(x.v, y.v) AS label, coalesce(x.v, y.v) IS NULL AS rejected
 FROM m LEFT JOIN a x ON x.k = trim(m.label) LEFT JOIN a y ON y.k = lower(trim(m.label))"""
 )
 def label_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings become labels; blank, NaN and unknown ones are null and counted as rejected."""
-    m = spark.createDataFrame(MESSY, "id long, label string")
+    m = typed_labels(spark, sf_dir)
     label = E.canonical_label(F.col("label"))
     return m.select("id", label.alias("label"), label.isNull().alias("rejected"))
 
 
-DECKS = [
-    (1, " Fin_A1__gamma ", "p. 12", " a | b || c "), (2, "arts_01__claudecode", "3", ""), (3, "Finance_02", None, "only"), (4, "BIO 04__x__y", "s007", "|x|"),
-    (5, "socio", "", " | "),
-]
+@query(
+    f"""WITH {RAW_LABELS}, a AS (SELECT * FROM (VALUES {_ALIAS_SQL}) AS t(k, v)),
+bad AS (SELECT d.source, m.label FROM m JOIN documents d ON d.doc_id = m.id
+  WHERE trim(coalesce(m.label, '')) NOT IN (SELECT k FROM a) AND lower(trim(coalesce(m.label, ''))) NOT IN (SELECT k FROM a))
+SELECT 'source' AS kind, source AS name, count(*) AS n FROM bad GROUP BY ALL UNION ALL SELECT 'label', label, count(*) FROM bad GROUP BY ALL"""
+)
+def rejected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels that are none, counted by source and by what stands there."""
+    m = typed_labels(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return D.rejected(m, E.canonical_label(F.col("label")).isNotNull(), "source", "label")
+
+
+def typed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, label."""
+    at = F.array(*[F.lit(x) for x in MESSY])
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.get(at, (F.col("doc_id") % len(MESSY)).cast("int")).alias("label"))
 
 
 @query(
-    f"""WITH {values('m', 'id long, deck string, slide string, context string', DECKS)}
+    r"""WITH m AS (
+  SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN ' Fin_' || source || '__toolb ' WHEN 1 THEN upper(source) || ' 04__x__y' WHEN 2 THEN 'Finance_' || source ELSE source END AS deck,
+    CASE doc_id % 5 WHEN 0 THEN 'p. ' || doc_id % 30 WHEN 1 THEN '3' WHEN 2 THEN 's007' WHEN 3 THEN '' END AS slide,
+    CASE doc_id % 3 WHEN 0 THEN replace(substr(text, 1, 40), ' ', ' | ') WHEN 1 THEN ' | ' || lang || ' || ' ELSE lang END AS context FROM documents)
 SELECT id, regexp_replace(replace(split_part(lower(trim(deck)), '__', 1), ' ', ''), '^fin_', 'finance_') AS deck,
   coalesce(try_cast(regexp_replace(slide, '[^0-9]', '', 'g') AS INTEGER), 1) AS slide,
   array_to_string(list_filter(list_transform(string_split(context, '|'), lambda x: trim(x)), lambda x: x <> ''), ';') AS context FROM m"""
 )
 def deck_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deck ids, slide numbers and contexts as people type them."""
-    m = spark.createDataFrame(DECKS, "id long, deck string, slide string, context string")
+    id, src = F.col("doc_id"), F.col("source")
+    deck = F.when(id % 4 == 0, F.concat(F.lit(" Fin_"), src, F.lit("__toolb "))).when(id % 4 == 1, F.concat(F.upper(src), F.lit(" 04__x__y")))
+    deck = deck.when(id % 4 == 2, F.concat(F.lit("Finance_"), src)).otherwise(src)
+    slide = F.when(id % 5 == 0, F.concat(F.lit("p. "), (id % 30).cast("string"))).when(id % 5 == 1, "3").when(id % 5 == 2, "s007").when(id % 5 == 3, "")
+    context = F.when(id % 3 == 0, F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit(" | "))).when(id % 3 == 1, F.concat(F.lit(" | "), "lang", F.lit(" || ")))
+    m = table(spark, sf_dir, "documents").select(id.alias("id"), deck.alias("deck"), slide.alias("slide"), context.otherwise(F.col("lang")).alias("context"))
     return m.select(
         "id", T.normalized_deck(F.col("deck")).alias("deck"), T.slide_number(F.col("slide")).alias("slide"), F.array_join(T.context_items(F.col("context")), ";").alias("context")
     )
 
 
-QUOTED = [
-    (1, "first half of it ... second half of it"), (2, "one source sentence || another source sentence"), (3, "a sentence from the paper (p.131, heading)"),
-    (4, "the paper says so — my own remark"), (5, "ab … cd"), (6, "  short  "), (7, "x || the longer of two parts"), (8, "a full sentence.. and its rest （p. 4）"),
-]
+RAW_QUOTES = """m AS (
+  SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 30) || ' ... ' || substr(text, 31, 30) WHEN 1 THEN substr(text, 1, 20) || ' || ' || substr(text, 21, 20)
+    WHEN 2 THEN substr(text, 1, 40) || ' (p.131, heading)' WHEN 3 THEN substr(text, 1, 40) || ' — my own remark' WHEN 4 THEN '  ' || substr(text, 1, 4) || '  '
+    ELSE 'ab … cd' || substr(text, 1, 3) END AS raw FROM documents)"""
 
 
 @query(
-    rf"""WITH {values('m', 'id long, raw string', QUOTED)},
+    rf"""WITH {RAW_QUOTES},
 c AS (SELECT id, raw, unnest(string_split(raw, ' || ')) AS c, unnest(range(0, len(string_split(raw, ' || ')))) AS i FROM m),
 p AS (SELECT id, raw, i, unnest(string_split_regex(c, '\s*(?:\.{{2,}}|…|⋯)\s*')) AS p, unnest(range(0, len(string_split_regex(c, '\s*(?:\.{{2,}}|…|⋯)\s*')))) AS j FROM c),
 k AS (SELECT id, raw, i, j, trim(regexp_replace(regexp_replace(p, '\s*[（(]\s*p\.?\s*\d+[^)）]*[)）]\s*$', ''), '\s*[—–]\s*[^—–]+$', '')) AS part FROM p),
@@ -249,10 +271,25 @@ SELECT id, coalesce(array_to_string(parts, ' / '), trim(raw)) AS parts FROM g"""
 )
 def evidence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR4."""
-    m = spark.createDataFrame(QUOTED, "id long, raw string")
+    id, part = F.col("doc_id"), lambda a, n: F.substring("text", a, n)
+    raw = F.when(id % 6 == 0, F.concat(part(1, 30), F.lit(" ... "), part(31, 30))).when(id % 6 == 1, F.concat(part(1, 20), F.lit(" || "), part(21, 20)))
+    raw = raw.when(id % 6 == 2, F.concat(part(1, 40), F.lit(" (p.131, heading)"))).when(id % 6 == 3, F.concat(part(1, 40), F.lit(" — my own remark")))
+    raw = raw.when(id % 6 == 4, F.concat(F.lit("  "), part(1, 4), F.lit("  "))).otherwise(F.concat(F.lit("ab … cd"), part(1, 3)))
+    m = table(spark, sf_dir, "documents").select(id.alias("id"), raw.alias("raw"))
     return m.select("id", F.array_join(T.evidence_parts(F.col("raw")), " / ").alias("parts"))
 
 
+@query(
+    """SELECT l.doc_id, l.quality, l.toxic FROM labels l JOIN documents d USING (doc_id) WHERE d.doc_id % 5 >= 3 AND l.quality IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 5 < 3 AND s.text = d.text)"""
+)
+def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: test rows that training does not have and that have been judged."""
+    d = table(spark, sf_dir, "documents")
+    test = D.clean(d.where("doc_id % 5 >= 3"), d.where("doc_id % 5 < 3"), "text").select("doc_id")
+    return table(spark, sf_dir, "labels").where("quality IS NOT NULL").join(test, "doc_id", "left_semi").select("doc_id", "quality", "toxic")
+
+
 @query()
 def nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML2-ML3, O5: a small grid of logistic models on vectors, cross-validated by groups; the best by score, spread and simplicity."""

@@ -8,40 +8,56 @@ from pyspark.sql import functions as F
 from plinth.functions import text as T
 from plinth.operators import layout as L
 from plinth.operators import segment as S
-from plinth.plans.registry import query, table, values
+from plinth.plans.registry import query, table
 
 W, H = 12_192_000, 6_858_000
-ITEM = "deck_id string, slide int, item_id int, text string, top int, left int, width int, height int, font_size double, source_type string"
-ITEMS = [
-    ("d1", 1, 1, "도시의 소리", 500_000, 600_000, 10_000_000, 900_000, 40.0, "text"),
-    ("d1", 1, 2, "공유된 전통과 정체성", 1_500_000, 600_000, 9_000_000, 500_000, 20.0, "text"),
-    ("d1", 1, 3, "1961", 400_000, 9_000_000, 900_000, 400_000, 48.0, "text"),
-    ("d1", 1, 4, "출처: 도시학보", 6_300_000, 600_000, 4_000_000, 300_000, 10.0, "text"),
-    ("d1", 1, 5, "12", 6_400_000, 11_000_000, 500_000, 300_000, 10.0, "text"),
-    ("d1", 2, 1, "목차", 500_000, 600_000, 3_000_000, 800_000, 36.0, "text"),
-    ("d1", 2, 2, "강변의 시장", 2_000_000, 800_000, 5_000_000, 400_000, 18.0, "text"),
-    ("d1", 2, 3, "3 / 20", 6_400_000, 200_000, 500_000, 300_000, 10.0, "text"),
-    ("d1", 3, 1, "결과", 450_000, 600_000, 8_000_000, 700_000, 36.0, "text"),
-    ("d1", 3, 2, "항목 | 값", 2_500_000, 700_000, 6_000_000, 400_000, 14.0, "table_row"),
-    ("d1", 3, 3, "연도별: 3", 3_000_000, 700_000, 6_000_000, 400_000, 14.0, "chart_data_1"),
-    ("d1", 3, 4, "분포", 2_900_000, 6_700_000, 6_000_000, 400_000, 14.0, "chart_title"),
-    ("d1", 3, 5, "1948–1967 대규모 이주가 이어진다", 4_000_000, 700_000, 6_000_000, 400_000, 14.0, "text"),
-    ("d1", 3, 6, "85%", 4_500_000, 700_000, 1_000_000, 400_000, 30.0, "text"),
-    ("d1", 3, 7, "• 첫째 항목", 5_000_000, 700_000, 6_000_000, 400_000, 14.0, "text"),
-    ("d1", 3, 8, "“인용된 말”", 5_300_000, 700_000, 6_000_000, 400_000, 14.0, "text"),
-    ("d1", 3, 9, "소제목처럼 큰 글", 5_500_000, 700_000, 3_000_000, 400_000, 20.0, "text"),
-    ("d1", 3, 10, "이 문장은 충분히 길고 마침표로 끝나므로 카드의 본문이다.", 5_800_000, 700_000, 6_100_000, 420_000, 14.0, "text"),
-    ("d2", 1, 1, "반복", 5_000_000, 100_000, 2_000_000, 300_000, 12.0, "text"),
-    ("d2", 1, 2, "반복 둘", 5_400_000, 100_000, 2_000_000, 300_000, 12.0, "text"),
-    ("d2", 1, 3, "홀로", 5_800_000, 3_000_000, 2_500_000, 300_000, 12.0, "text"),
-]
-
-
-def items(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ITEMS, ITEM).withColumns({"slide_width": F.lit(W), "slide_height": F.lit(H)})
-
-
-KEPT = rf"""{values('raw', ITEM, ITEMS)},
+#: Turns of conversations as items of slides: place, size and font from their numbers, texts of every kind that the rules tell apart.
+RAW_ITEMS = """raw AS (
+  SELECT 'd' || conv_id AS deck_id, (turn // 6 + 1)::INTEGER AS slide, turn::INTEGER AS item_id,
+    CASE (conv_id * 3 + turn * 5) % 13 WHEN 0 THEN substr(text, 1, 30) WHEN 1 THEN 1900 + conv_id % 90 || '–1999 ' || substr(text, 1, 20) WHEN 2 THEN turn + 1 || ' / 20'
+      WHEN 3 THEN '출처: ' || substr(text, 1, 12) WHEN 4 THEN (turn * 31 % 200)::VARCHAR WHEN 5 THEN '• ' || substr(text, 1, 20) WHEN 6 THEN '“' || substr(text, 1, 15) || '”'
+      WHEN 7 THEN CASE WHEN conv_id % 3 = 0 THEN '목차' ELSE text END WHEN 8 THEN conv_id % 100 || '%' WHEN 10 THEN '• ' || replace(text, E'\\n', E'\\n• ') ELSE text END AS text,
+    ((turn * turn * 37 + conv_id * 11) % 69 * 100000)::INTEGER AS top, ((turn * 7 + conv_id) % 5 * 2400000)::INTEGER AS "left",
+    ((1 + (turn + conv_id) % 10) * 1000000)::INTEGER AS width, (300000 + turn % 6 * 100000)::INTEGER AS height, (10 + (turn * 7 + conv_id * 3) % 31)::DOUBLE AS font_size,
+    CASE (conv_id * 3 + turn * 5) % 13 WHEN 9 THEN 'chart_data_1' WHEN 11 THEN 'table_row' WHEN 12 THEN 'chart_title' ELSE 'text' END AS source_type FROM conversations)"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deck_id, slide, item_id, text, top, left, width, height, font_size, source_type and the size of slides."""
+    kind, text, conv, turn = F.expr("(conv_id * 3 + turn * 5) % 13"), F.col("text"), F.col("conv_id"), F.col("turn")
+    head = lambda n: F.substring("text", 1, n)
+    texts = {
+        0: head(30),
+        1: F.concat((1900 + conv % 90).cast("string"), F.lit("–1999 "), head(20)),
+        2: F.concat((turn + 1).cast("string"), F.lit(" / 20")),
+        3: F.concat(F.lit("출처: "), head(12)),
+        4: (turn * 31 % 200).cast("string"),
+        5: F.concat(F.lit("• "), head(20)),
+        6: F.concat(F.lit("“"), head(15), F.lit("”")),
+        7: F.when(conv % 3 == 0, "목차").otherwise(text),
+        8: F.concat((conv % 100).cast("string"), F.lit("%")),
+        10: F.concat(F.lit("• "), F.replace(text, F.lit("\n"), F.lit("\n• "))),
+    }
+    shown = text
+    for k, v in texts.items():
+        shown = F.when(kind == k, v).otherwise(shown)
+    return table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("d"), conv.cast("string")).alias("deck_id"),
+        (F.floor(turn / 6) + 1).cast("int").alias("slide"),
+        turn.cast("int").alias("item_id"),
+        shown.alias("text"),
+        ((turn * turn * 37 + conv * 11) % 69 * 100_000).cast("int").alias("top"),
+        ((turn * 7 + conv) % 5 * 2_400_000).cast("int").alias("left"),
+        ((1 + (turn + conv) % 10) * 1_000_000).cast("int").alias("width"),
+        (300_000 + turn % 6 * 100_000).cast("int").alias("height"),
+        (10 + (turn * 7 + conv * 3) % 31).cast("double").alias("font_size"),
+        F.when(kind == 9, "chart_data_1").when(kind == 11, "table_row").when(kind == 12, "chart_title").otherwise("text").alias("source_type"),
+        F.lit(W).alias("slide_width"),
+        F.lit(H).alias("slide_height"),
+    )
+
+
+KEPT = rf"""{RAW_ITEMS},
 kept AS (SELECT * FROM raw WHERE NOT (regexp_matches(text, '{L.PAGE}') OR (regexp_full_match(text, '\d{{1,3}}') AND top >= {H} * 0.85 AND "left" >= {W} * 0.75))),
 titles AS (
   SELECT deck_id, slide, item_id, text FROM kept WHERE source_type IN ('text', 'chart_title') AND top < {H} * 0.40
@@ -52,13 +68,13 @@ titles AS (
 @query(f'WITH {KEPT} SELECT deck_id, slide, item_id, text FROM kept')
 def page_number_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1."""
-    return L.without_page_numbers(items(spark)).select("deck_id", "slide", "item_id", "text")
+    return L.without_page_numbers(items(spark, sf_dir)).select("deck_id", "slide", "item_id", "text")
 
 
 @query(f"WITH {KEPT} SELECT * FROM titles")
 def title_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O4."""
-    return L.titles(L.without_page_numbers(items(spark)))
+    return L.titles(L.without_page_numbers(items(spark, sf_dir)))
 
 
 @query(
@@ -66,7 +82,7 @@ def title_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shape_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23."""
-    return L.shape_groups(L.without_page_numbers(items(spark)))
+    return L.shape_groups(L.without_page_numbers(items(spark, sf_dir)))
 
 
 @query(
@@ -93,25 +109,43 @@ SELECT deck_id, slide, item_id, CASE WHEN tag0 = '본문' AND alike >= 2 THEN CA
 )
 def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR10, W11."""
-    return L.tagged(L.without_page_numbers(items(spark)))
-
-
-LINE = "doc_id string, page int, line int, indent int, text string"
-LINES = [
-    ("p1", 1, 1, 40, "132 도시학보 제7호"), ("p1", 1, 2, 50, "1. 서론: 음악과 기억"), ("p1", 1, 3, 50, "음악은 기억을 담는다.8) 그래서 오래"),
-    ("p1", 1, 4, 40, "남아 있으며 사람들은 이를 다시 부른다."), ("p1", 1, 5, 50, "둘째 문단은 여기에서 시작하여 이어지고"), ("p1", 1, 6, 40, "줄을 바꾸어 끝난다."),
-    ("p1", 1, 7, 40, "8) Miller, Anna, The Quiet Harbor"), ("p1", 2, 1, 50, "다음 쪽의 첫 줄은 앞 문단을 잇고 있으며"), ("p1", 2, 2, 40, "여기서 문장이 끝난다."),
-    ("p1", 2, 3, 50, "새로운 문단은 들여쓰기로 알아본다."), ("p1", 2, 4, 40, "2) 강변의 시장"), ("p1", 2, 5, 40, "본문이 이어진다."), ("p1", 2, 6, 40, "도시 소리의 지형 135"),
-    ("p2", 1, 1, 10, "짧은 문서."), ("p2", 1, 2, 10, "Printed in Porto by Faro"),
-]
-
-
-def lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LINES, LINE)
+    return L.tagged(L.without_page_numbers(items(spark, sf_dir)))
+
+
+#: Lines of documents as lines of pages, some of them as running heads, headings, footnotes and their marks, and in two scripts.
+RAW_LINES = """raw AS (
+  SELECT 'p' || doc_id AS doc_id, (i // 8 + 1)::INTEGER AS page, (i % 8 + 1)::INTEGER AS line, CASE WHEN (doc_id + i) % 3 = 0 THEN 50 ELSE 40 END::INTEGER AS indent,
+    CASE (doc_id * 7 + i * 3) % 17 WHEN 0 THEN 100 + doc_id % 300 || ' ' || substr(x, 1, 20) WHEN 1 THEN '1. ' || substr(x, 1, 20)
+      WHEN 2 THEN substr(x, 1, 25) || '.8) ' || substr(x, 26, 30) WHEN 3 THEN '8) Miller, ' || substr(x, 1, 25) WHEN 4 THEN '본문은 ' || substr(x, 1, 10) || ' 남아 있다.'
+      ELSE CASE WHEN (doc_id + i) % 2 = 0 THEN '한국어 본문이 길게 이어지고 있으며 ' || substr(x, 1, 20) ELSE x END END AS text
+  FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS x, unnest(range(0, len(string_split(text, E'\\n')))) AS i FROM documents))"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, line, indent, text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    kind, even = F.expr("(doc_id * 7 + i * 3) % 17"), F.expr("(doc_id + i) % 2 = 0")
+    head = lambda n: F.substring("x", 1, n)
+    text = (
+        F.when(kind == 0, F.concat((100 + F.col("doc_id") % 300).cast("string"), F.lit(" "), head(20)))
+        .when(kind == 1, F.concat(F.lit("1. "), head(20)))
+        .when(kind == 2, F.concat(head(25), F.lit(".8) "), F.substring("x", 26, 30)))
+        .when(kind == 3, F.concat(F.lit("8) Miller, "), head(25)))
+        .when(kind == 4, F.concat(F.lit("본문은 "), head(10), F.lit(" 남아 있다.")))
+        .when(even, F.concat(F.lit("한국어 본문이 길게 이어지고 있으며 "), head(20)))
+        .otherwise(F.col("x"))
+    )
+    return d.select(
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("doc_id"),
+        (F.floor(F.col("i") / 8) + 1).cast("int").alias("page"),
+        (F.col("i") % 8 + 1).alias("line"),
+        F.when(F.expr("(doc_id + i) % 3 = 0"), 50).otherwise(40).alias("indent"),
+        text.alias("text"),
+    )
 
 
 HEAD = r"trim(text) <> '' AND length(trim(text)) <= 45 AND NOT regexp_matches(trim(text), '(\.|다|\?|!|:)$') AND regexp_matches(trim(text), '^\d{1,4}\s+\S|\s\d{1,4}$')"
-BODY = rf"""{values('raw', LINE, LINES)},
+BODY = rf"""{RAW_LINES},
 used AS (SELECT doc_id, list_distinct(flatten(list(regexp_extract_all(text, '[가-힣.’”"'')](\d{{1,2}})\)', 1)))) AS used FROM raw GROUP BY doc_id),
 k AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS n FROM raw WHERE NOT ({HEAD}) WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
 m AS (SELECT k.*, min(CASE WHEN n >= 4 AND i >= floor(n * 0.4) AND (
@@ -121,16 +155,16 @@ m AS (SELECT k.*, min(CASE WHEN n >= 4 AND i >= floor(n * 0.4) AND (
 body AS (SELECT doc_id, page, line, indent, text FROM m WHERE cut IS NULL OR i < cut)"""
 
 
-@query(f"WITH {values('raw', LINE, LINES)} SELECT doc_id, page, line, {HEAD} AS is_head FROM raw")
+@query(f"WITH {RAW_LINES} SELECT doc_id, page, line, {HEAD} AS is_head FROM raw")
 def running_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2."""
-    return lines(spark).select("doc_id", "page", "line", T.is_running_head(F.col("text")).alias("is_head"))
+    return lines(spark, sf_dir).select("doc_id", "page", "line", T.is_running_head(F.col("text")).alias("is_head"))
 
 
 @query(f"WITH {BODY} SELECT doc_id, page, line, text FROM body")
 def footnote_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR12."""
-    return L.body_lines(lines(spark)).select("doc_id", "page", "line", "text")
+    return L.body_lines(lines(spark, sf_dir)).select("doc_id", "page", "line", "text")
 
 
 @query(
@@ -142,21 +176,28 @@ SELECT doc_id, page, line, text, (sum((head OR after OR (indent > base AND NOT f
 )
 def paragraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W10."""
-    return L.paragraphs(L.body_lines(lines(spark)))
+    return L.paragraphs(L.body_lines(lines(spark, sf_dir)))
 
 
-FRAGMENT = "doc_id string, page int, x double, y double, text string, rotated boolean, gutter double"
-FRAGMENTS = [
-    ("f1", 1, 50.0, 700.0, "왼쪽 ", False, 300.0), ("f1", 1, 120.0, 698.0, "첫 줄", False, 300.0), ("f1", 1, 52.0, 696.0, "둘째 줄", False, 300.0),
-    ("f1", 1, 320.0, 700.0, "오른쪽", False, 300.0), ("f1", 1, 380.0, 701.0, " 단", False, 300.0), ("f1", 1, 10.0, 400.0, "옆글", True, 300.0),
-    ("f1", 1, 50.0, 680.0, "  ", False, 300.0), ("f1", 2, 60.0, 500.0, "다음 쪽", False, 300.0),
-]
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, x, y, text, rotated, gutter: words of documents, strewn over the lines of two columns."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "w"))
+    return d.select(
+        F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("doc_id"),
+        (F.floor(F.col("i") / 40) + 1).cast("int").alias("page"),
+        F.expr("double((i * 53 + doc_id) % 500)").alias("x"),
+        F.expr("700 - 12D * (i % 40 div 6) - (i * 7 + doc_id) % 3").alias("y"),
+        F.concat("w", F.lit(" ")).alias("text"),
+        F.expr("(i + doc_id) % 17 = 0").alias("rotated"),
+        F.lit(300.0).alias("gutter"),
+    )
 
 
 @query()
 def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments become lines, the left column first."""
-    return S.clustered_lines(spark.createDataFrame(FRAGMENTS, FRAGMENT))
+    return S.clustered_lines(fragments(spark, sf_dir))
 
 
 @query(

@@ -133,6 +133,115 @@ def test_evidence_is_found_whatever_the_spacing(spark):
     assert V.unspaced_candidates(e.where("item_id > 99"), sents).count() == 0
 
 
+def test_evidence_of_the_review(spark):
+    """Spacing that differs at the longest word, and evidence of two words."""
+    docs = [(1, ["alpha beta gamma delta omega"]), (2, ["alpha betagamma delta omega"])]
+    sents = spark.createDataFrame(docs, "doc_id int, sents array<string>")
+    e = spark.createDataFrame([(1, "alpha betagamma delta omega"), (2, "beta gamma")], "item_id int, evidence string")
+    got = V.first_group(V.unspaced_candidates(e, sents), e, V.sentence_groups(sents, "doc_id"), "doc_id", unspaced=True)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_evidence_equals_loop_over_random_spacing(spark):
+    rng = random.Random(9)
+    letters = "abc"
+    docs = [(d, ["".join(rng.choice(letters + "  ") for _ in range(rng.randint(1, 25))).strip() or "x" for _ in range(rng.randint(0, 4))]) for d in range(40)]
+    whole = [t for _, s in docs for t in s]
+    items = []
+    for i in range(60):
+        t = rng.choice(whole)
+        a = rng.randrange(len(t))
+        piece = t[a : a + rng.randint(1, 18)]
+        items.append((i, "".join(c + " " * (rng.random() < 0.2) for c in piece if c != " " or rng.random() < 0.8)))
+    sents = spark.createDataFrame(docs, "doc_id int, sents array<string>")
+    e = spark.createDataFrame(items, "item_id int, evidence string")
+    runs = [(d, " ".join(s[i : i + n])) for d, s in docs for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+    for unspaced, pairs in ((False, V.candidates(e, sents)), (True, V.unspaced_candidates(e, sents))):
+        form = (lambda x: "".join(x.split())) if unspaced else (lambda x: " ".join(x.split()))
+        got = {(r.item_id, r.doc_id) for r in V.first_group(pairs, e, V.sentence_groups(sents, "doc_id"), "doc_id", unspaced=unspaced).collect()}
+        assert got == {(i, d) for i, x in items for d, t in runs if form(x) and form(x) in form(t)}, unspaced
+
+
+def test_evidence_in_parts(spark):
+    sents = spark.createDataFrame([(1, ["첫 문장이 여기 있다.", "둘째 문장은 다른 말을 한다.", "셋째로 끝난다."])], "doc_id int, sents array<string>")
+    ev = [(1, "셋째로 끝난다. || 첫 문장이"), (2, "첫문장이 || 둘째 문장은"), (3, "첫 문장이 || 전혀 다른 내용이며 없다"), (4, "첫 문장이"), (5, " || "), (6, "첫문장이여기 || 둘째 문장은 딴 말을 한다.")]
+    e = spark.createDataFrame(ev, "item_id int, evidence string")
+    got = {r.item_id: (r.method, r.sent_ns) for r in V.find_parts(e.select("item_id").withColumn("doc_id", F.lit(1)), e, sents, "doc_id").collect()}
+    assert got == {1: ("exact", [3, 1]), 2: ("nospace", [1, 2]), 3: ("none", [1]), 4: ("exact", [1]), 5: ("none", []), 6: ("fuzzy", [1, 2])}
+
+
+def test_fuzzy_evidence_equals_loop(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeg") for _ in range(rng.randint(1, 5)))
+    docs = {d: [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 5))] for d in range(12)}
+    items = {}
+    for i in range(25):
+        own = rng.choice([s for s in docs.values() if s])
+        t = rng.choice(own)
+        items[i] = "".join(c for c in t if rng.random() < 0.9) or "q"
+    pairs = [(i, d) for i in items for d in docs if rng.random() < 0.4]
+
+    def loop(text, sents):
+        groups = [(n, k + 1, " ".join(sents[k : k + n])) for n in (1, 2, 3) for k in range(len(sents) - n + 1)]
+        for name, form in (("exact", lambda x: " ".join(x.split())), ("nospace", lambda x: "".join(x.split()))):
+            for n, k, g in groups:
+                if form(text) and form(text) in form(g):
+                    return name, n, k
+        best = (0.0, None, None)
+        for n, k, g in groups:
+            r = SequenceMatcher(None, "".join(text.split()), "".join(g.split())).ratio()
+            if r > best[0]:
+                best = (r, n, k)
+        return ("fuzzy", *best[1:]) if best[0] >= 0.6 else ("none", None, None)
+
+    e = spark.createDataFrame(list(items.items()), "item_id int, evidence string")
+    s = spark.createDataFrame(list(docs.items()), "doc_id int, sents array<string>")
+    p = spark.createDataFrame([(i, d) for i, d in pairs if docs[d]], "item_id int, doc_id int")
+    got = {(r.item_id, r.doc_id): (r.method, r.n, r.first) for r in V.find(p, e, s, "doc_id", floor=0.6).collect()}
+    assert got == {(i, d): loop(items[i], docs[d]) for i, d in pairs if docs[d]}
+
+
+def test_verdicts_find_each_claim_once(spark):
+    gold = spark.createDataFrame([(1, "a", "하나 둘"), (2, "b", "셋"), (3, "c", "하나  둘"), (4, "d", "‘넷’")], "ord int, claim_id string, claim_text string")
+    rows = [(1, "x", "하나 둘"), (2, "y", "하나둘"), (3, "b", "다른"), (4, "z", "셋"), (5, "w", "'넷'"), (6, "v", "없음"), (7, "a", "")]
+    got = {r.verdict_id: (r.how, r.gold_id) for r in D.match_verdicts(spark.createDataFrame(rows, "ord int, verdict_id string, claim_text string"), gold).collect()}
+    assert got == {"x": ("claim_text", "a"), "y": ("none", None), "b": ("claim_id", "b"), "z": ("none", None), "w": ("claim_text", "d"), "v": ("none", None), "a": ("claim_id", "a")}
+
+
+def test_resamples_draw_as_many_as_there_are(spark):
+    rng = random.Random(2)
+    rows = [(f"d{d}", t, t if rng.random() < 0.6 else rng.choice(E.LABELS)) for d in range(17) for t in E.LABELS for _ in range(2)]
+    df = spark.createDataFrame(rows, "doc string, truth string, predicted string")
+    draws = E.bootstrap_draws(df.select(F.col("doc").alias("name")).distinct(), 40, 0).collect()
+    by = {}
+    for r in draws:
+        by.setdefault(r.resample, {})[r.name] = r.times
+    assert len(by) == 40 and all(sum(t.values()) == 17 for t in by.values()) and len({tuple(sorted(t.items())) for t in by.values()}) > 35
+
+    def macro(times):
+        out = 0
+        for x in E.LABELS:
+            tp = sum(times.get(d, 0) for d, t, p in rows if t == p == x)
+            either = sum(times.get(d, 0) * ((t == x) + (p == x)) for d, t, p in rows)
+            out += 2 * tp / either if either else 0
+        return out / 4
+
+    import numpy as np
+
+    ci = E.bootstrap_macro_f1(df, "doc", resamples=40).first()
+    want = np.percentile([macro(t) for t in by.values()], [2.5, 97.5])
+    assert abs(ci.low - want[0]) < 2e-6 and abs(ci.high - want[1]) < 2e-6
+
+
+def test_leak_guard_raises(spark):
+    df = spark.createDataFrame([("a",), (None,)], "source string")
+    assert D.no_leak(df, F.col("source") == "b").count() == 2
+    with pytest.raises(ValueError):
+        D.no_leak(df, F.col("source") == "a")
+
+
 def test_labels(spark):
     cases = ["근거있음", " Supported ", "NaN", "", None, "그 밖에"]
     assert column(spark, cases, E.canonical_label) == ["근거 있음", "근거 있음", None, None, None, None]
@@ -182,3 +291,61 @@ def test_line_clusters_compare_with_the_first(spark):
     f = [("d", 1, float(x), y, t, False, 300.0) for x, y, t in [(1, 10.0, "a"), (2, 8.0, "b"), (3, 6.5, "c")]]
     df = spark.createDataFrame(f, "doc_id string, page int, x double, y double, text string, rotated boolean, gutter double")
     assert [r.text for r in S.clustered_lines(df).orderBy("line").collect()] == ["ab", "c"]
+
+
+def test_line_clusters_equal_loop(spark):
+    from plinth.plans.pages import fragments
+    from tests.oracle import SF
+
+    want = []
+    sides = {}
+    for r in fragments(spark, SF).collect():
+        if not r.rotated:
+            sides.setdefault((r.doc_id, r.page, int(r.x >= r.gutter)), []).append(r)
+    for (doc, page, side), own in sides.items():
+        lines = []
+        for r in sorted(own, key=lambda r: (-r.y, r.x)):
+            if lines and abs(lines[-1][0] - r.y) <= 2.5:
+                lines[-1][1].append(r)
+            else:
+                lines.append((r.y, [r]))
+        k = 0
+        for _, parts in lines:
+            parts.sort(key=lambda r: r.x)
+            text = " ".join("".join(r.text for r in parts).split())
+            if text:
+                k += 1
+                want.append((doc, page, side, k, round(parts[0].x), text))
+    got = [tuple(r) for r in S.clustered_lines(fragments(spark, SF)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+
+
+def test_body_clean_equals_python(spark):
+    import re
+    import unicodedata
+
+    from plinth.plans.pages import body_clean
+    from tests.oracle import SF
+
+    private = re.compile("[\ue000-\uf8ff\U000f0000-\U0010fffd]")
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        t = private.sub("□", unicodedata.normalize("NFKC", r.text)).translate(str.maketrans(*T.LOOKALIKES))
+        n = " ".join(re.sub(r"""(?<=[가-힣.'")])\d{1,2}\)""", "", t).split())
+        c = private.sub("□", r.text.translate(str.maketrans("․∙． ", "··. ")))
+        c = re.sub(r"""(?<=[가-힣.’”"')])(\d{1,2})\)""", "", c)
+        c = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", c)).strip(" ")
+        want[r.doc_id] = (len(n), len(n.replace(" ", "")), len(c), masked(r.text).count("\0"))
+    got = {r.doc_id: (r.n_normalized, r.n_unspaced, r.n_clean, r.n_masked) for r in body_clean(spark, SF).collect()}
+    assert got == want
+
+
+def test_macro_f1_of_models_equals_loop(spark):
+    from plinth.operators.models import macro_f1
+
+    rows = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 1.0), (1.0, 1.0)]
+    want = []
+    for k in (0.0, 1.0, 2.0):
+        tp = sum(a == b == k for a, b in rows)
+        want.append(2 * tp / sum((a == k) + (b == k) for a, b in rows))
+    assert abs(macro_f1(spark.createDataFrame(rows, "label double, prediction double")) - sum(want) / 3) < 1e-12
