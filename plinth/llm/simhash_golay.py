@@ -16,14 +16,20 @@ most two bits if and only if both are within one bit of a common centre, and all
 those around one centre are linked to the least of them.
 
 Two bits are few for copies that were edited.  With ``floor``, texts are also
-linked whose sets of five-word runs have at least that Jaccard similarity:
-candidates share a band of a MinHash, each is compared with the least and the
-greatest text of the band, and every link is verified by the exact sets.
+linked whose sets of five-word runs have at least that Jaccard similarity.
+Candidates share a band of a MinHash or, where that leaves them apart, a Golay
+key of one of several further fingerprints, whatever their distance.  There is one path for groups of every
+size: no pairs are formed within a group, but each member meets the group's
+hubs, which are the text that shares most keys with others, by the sizes of
+the groups (in a cluster of copies that is the text they were made from), and
+the first by two hashed orders.  So candidates grow with the keys, and each is
+verified by the exact sets.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; a text of one or two words has one shingle, the whole.  Repeated
 rows each get a row.  A null doc_id is never the name of a component unless no
-copy has another.  Empty tables give no rows.  Other columns are ignored.
+copy has another.  Equally well connected hubs are told apart by the hash of
+their texts.  Empty tables give no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +53,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Members of a key that are compared pair by pair; keys of more go by centres.
 FEW = 16
-#: Tables beside the first whose keys are joined in one go.
+#: Further fingerprints whose keys are grouped in one go, so that keys need little disk at a time.
 AT_ONCE = 3
+#: Hashed orders whose first member is a hub.
+ORDERS = 2
 #: Words of a run whose sets tell similarity, bands of the MinHash and minima in each: at 0.8 one pair in 2,500 shares no band.
 RUN, BANDS, MINIMA = 5, 20, 5
 _rng = np.random.default_rng(5)
@@ -100,13 +108,14 @@ def bands(text: str | None) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1, banded: bool = False) -> DataFrame:
-    """doc_id, _key (of the text), fp (of the first table), more (those of the others) and bands (if banded) of every row."""
+    """doc_id, _key (of the text), fp (of the first table), more (those of the others, none without words) and bands (if banded) of every row."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [fingerprint(t, shingle, tables) for t in b["text"]]
             cut = [bands(t) if banded else [] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [f[0] for f in found], "more": [f[1:] for f in found], "bands": cut})
+            more = [f[1:] if t and not t.isspace() else [] for f, t in zip(found, b["text"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "_key": b["_key"], "fp": [f[0] for f in found], "more": more, "bands": cut})
 
     # ids travel as text, so that nulls do not turn them into floats
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
@@ -162,25 +171,25 @@ def segment_keys(fps: np.ndarray) -> np.ndarray:
 
 
 def keyed(fps: DataFrame) -> DataFrame:
-    """t, fp and key, a row for each key of each fingerprint."""
+    """The columns of fps, which are numbers, and key: a row for each key of each fingerprint fp."""
+    names = fps.columns
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            keys = segment_keys(fp)
+            keys = segment_keys(b["fp"].to_numpy(np.int64))
             i, j = np.nonzero(keys >= 0)
-            yield pd.DataFrame({"t": b["t"].to_numpy(np.int32)[i], "fp": fp[i], "key": keys[i, j]})
+            yield pd.DataFrame({c: b[c].to_numpy()[i] for c in names} | {"key": keys[i, j]})
 
-    return fps.select("t", "fp").mapInPandas(each, "t int, fp long, key long")
+    return fps.mapInPandas(each, ", ".join(f"{c} long" for c in names) + ", key long")
 
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(t, a, b): pairs of the distinct (t, fp) that join all fingerprints of a table t within two bits."""
-    written = keys = scratch.table(keyed(fps))
-    shared = scratch.table(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    """(a, b): pairs of the distinct fp that join all fingerprints within two bits."""
+    written = keys = scratch.table(keyed(fps.select("fp")))
+    shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     # merged at every size: whether the few are small enough to send depends on the input
     keys = keys.hint("merge")
-    few = keys.join(shared.where(F.col("n") <= FEW).select("t", "key"), ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("all"))
+    few = keys.join(shared.where(F.col("n") <= FEW).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("all"))
     near = F.flatten(
         F.transform(
             "all",
@@ -190,77 +199,132 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
             ),
         )
     )
-    pairs = few.select("t", F.explode(near).alias("p")).select("t", "p.a", "p.b")
-    many = keys.join(shared.where(F.col("n") > FEW).select("t", "key"), ["t", "key"]).select("t", "fp").distinct()
+    pairs = few.select(F.explode(near).alias("p")).select("p.a", "p.b")
+    many = keys.join(shared.where(F.col("n") > FEW).select("key"), "key").select("fp").distinct()
     flip = lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
     centres = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), flip))
-    balls = scratch.table(many.select("t", "fp", F.explode(centres).alias("centre")))
-    hubs = balls.groupBy("t", "centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    balls = scratch.table(many.select("fp", F.explode(centres).alias("centre")))
+    hubs = balls.groupBy("centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hubs = scratch.table(hubs)
-    stars = balls.join(hubs, ["t", "centre"]).where("fp <> hub").select("t", F.col("fp").alias("a"), F.col("hub").alias("b"))
+    stars = balls.join(hubs, "centre").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     out = scratch.table(pairs.unionByName(stars).distinct())
     scratch.drop(written, shared, balls, hubs)
     return out
 
 
-def more_links(fps: DataFrame, first: int, last: int, scratch: Scratch) -> DataFrame:
-    """(a, b): first fingerprints of texts that the fingerprints of tables first to last link."""
-    tables = F.slice("more", first, last - first + 1)
-    pairs = fps.select("fp", F.posexplode(tables).alias("t", "x")).distinct()
-    reps = scratch.table(pairs.groupBy("t", "x").agg(F.min("fp").alias("rep")))
-    found = links(reps.select("t", F.col("x").alias("fp")), scratch)
-    equal = pairs.join(reps, ["t", "x"]).where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-    of = lambda side: reps.select("t", F.col("x").alias(side), F.col("rep").alias(f"rep_{side}"))
-    near = found.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    out = scratch.table(equal.unionByName(near).where("a <> b").distinct())
-    scratch.drop(reps, found)
+def band_pairs(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(x, y), x < y: each text of rows (k, _key) with the hubs of the groups k that it is in; and (_key, weight) of the texts in groups."""
+    rows = scratch.table(rows)
+    sizes = scratch.table(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    # merged, so that adaptive execution can split a group that a third of all texts share
+    shared = scratch.table(rows.hint("merge").join(sizes, "k"))
+    scratch.drop(rows, sizes)
+    weight = scratch.table(shared.groupBy("_key").agg(F.sum("n").alias("weight")))
+    order = lambda i: F.struct(F.xxhash64(F.lit(i), "_key").alias("order"), "_key")
+    first = [F.min(order(i))["_key"] for i in range(ORDERS)]
+    best = F.max(F.struct("weight", "_key"))["_key"]
+    hubs = shared.hint("merge").join(weight, "_key").groupBy("k").agg(F.array_distinct(F.array(best, *first)).alias("hubs"))
+    hubs = scratch.table(hubs)
+    met = shared.hint("merge").join(hubs, "k").select("_key", F.explode("hubs").alias("hub")).where("_key <> hub")
+    out = scratch.table(met.select(F.least("_key", "hub").alias("x"), F.greatest("_key", "hub").alias("y")).distinct())
+    scratch.drop(shared, hubs)
+    scratch.release()
+    return out, weight
+
+
+def golay_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): each rank of rows (k, rank, part) with two hubs of its group k, if it is of another part.
+
+    Texts go by rank, a number that holds their weight and, below it, their
+    hash, so that the one pass over all keys has only numbers to compare.  Hubs
+    are the greatest rank and the greatest hash: of a group that is nearly all
+    of one part both nearly always belong to it, and only the others meet them.
+    """
+    rows = scratch.table(rows)
+    turned = F.shiftleft("rank", 20).bitwiseOR(F.shiftrightunsigned("rank", 44))
+    back = F.shiftrightunsigned("any", 20).bitwiseOR(F.shiftleft("any", 44))
+    ends = [F.min("part").alias("p"), F.max("part").alias("q"), F.max("rank").alias("most"), F.max(turned).alias("any")]
+    mixed = rows.groupBy("k").agg(*ends).where("p < q").select("k", F.explode(F.array_distinct(F.array("most", back))).alias("hub"))
+    mixed = scratch.table(mixed)
+    parts = rows.select(F.col("rank").alias("hub"), F.col("part").alias("hub_part")).join(mixed.select("hub").distinct(), "hub", "left_semi")
+    hubs = scratch.table(mixed.join(parts.distinct(), "hub"))
+    # members of the hub's own part, which may be a third of all texts, are not even listed
+    met = rows.hint("merge").join(hubs, (rows["k"] == hubs["k"]) & (rows["part"] != hubs["hub_part"]))
+    out = scratch.table(met.select(F.least("rank", "hub").alias("a"), F.greatest("rank", "hub").alias("b")).distinct())
+    scratch.drop(rows, mixed, hubs)
+    scratch.release()
     return out
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
-    """(a, b): first fingerprints of texts whose sets of runs have at least the similarity floor."""
-    texts = scratch.table(fps.select("_key", "fp", "bands").distinct())
-    cut = texts.select("_key", F.posexplode("bands").alias("band", "k"))
-    ends = cut.groupBy("band", "k").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).where("least < most")
-    ends = scratch.table(ends)
-    met = cut.join(ends, ["band", "k"]).select("_key", F.explode(F.array("least", "most")).alias("other")).where("_key <> other")
-    met = scratch.table(met.select(F.least("_key", "other").alias("x"), F.greatest("_key", "other").alias("y")).distinct())
+def similar(docs: DataFrame, fps: DataFrame, met: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
+    """(a, b): first fingerprints of those pairs of texts (x, y) whose sets of runs have at least the similarity floor."""
+    met = scratch.table(met)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_key": b["_key"], "runs": [run_set(t).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"_key": b["_key"], "fp": b["fp"], "runs": [run_set(t).view(np.int64) for t in b["text"]]})
 
+    # of equal texts one is read
     wanted = met.select(F.explode(F.array("x", "y")).alias("_key")).distinct()
-    d = docs.select(text_key(F.col("text")).alias("_key"), "text").join(wanted, "_key", "left_semi")
-    sets = scratch.table(d.groupBy("_key").agg(F.first("text").alias("text")).mapInPandas(each, "_key long, runs array<long>"))
-    of = lambda side: sets.select(F.col("_key").alias(side), F.col("runs").alias(f"runs_{side}"))
+    wanted = fps.join(wanted, "_key", "left_semi").groupBy("_key").agg(F.min("doc_id").alias("one"), F.first("fp").alias("fp"))
+    wanted = scratch.table(wanted.withColumnRenamed("_key", "wanted"))
+    d = docs.select(F.col("doc_id").alias("doc"), text_key(F.col("text")).alias("_key"), "text")
+    d = d.join(wanted, (d["_key"] == wanted["wanted"]) & d["doc"].eqNullSafe(wanted["one"])).select("_key", "fp", "text")
+    sets = scratch.table(d.mapInPandas(each, "_key long, fp long, runs array<long>").dropDuplicates(["_key"]))
+    of = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}") for c in sets.columns])
     both = F.size(F.array_intersect("runs_x", "runs_y"))
-    near = met.join(of("x"), "x").join(of("y"), "y").where(both >= floor * (F.size("runs_x") + F.size("runs_y") - both)).select("x", "y")
-    near = scratch.table(near)
-    named = lambda side, name: texts.select(F.col("_key").alias(side), F.col("fp").alias(name))
-    out = scratch.table(near.join(named("x", "a"), "x").join(named("y", "b"), "y").where("a <> b").select("a", "b").distinct())
-    scratch.drop(texts, ends, met, sets, near)
+    least = floor * (F.size("runs_x") + F.size("runs_y") - both)
+    # sizes alone rule out most of the unlike
+    alike = (F.size("runs_x") >= floor * F.size("runs_y")) & (F.size("runs_y") >= floor * F.size("runs_x"))
+    near = met.join(of("x"), F.col("x") == F.col("_key_x")).join(of("y"), (F.col("y") == F.col("_key_y")) & alike).where(both >= least)
+    out = scratch.table(near.where("fp_x <> fp_y").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct())
+    scratch.drop(met, wanted, sets)
+    scratch.release()
     return out
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1, floor: float | None = None) -> DataFrame:
+def similar_links(docs: DataFrame, fps: DataFrame, known: DataFrame, tables: int, floor: float, scratch: Scratch) -> DataFrame:
+    """(a, b): first fingerprints of similar texts whose components are not the same by the known links (a, b).
+
+    Bands come first; Golay keys then propose only pairs that are still apart.
+    """
+    texts = scratch.table(fps.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("fp", "more", "bands")]))
+    met, weight = band_pairs(texts.select(F.explode("bands").alias("k"), "_key"), scratch)
+    found = similar(docs, fps, met, floor, scratch)
+    if tables > 1:
+        parts = connected_components(known.unionByName(found), scratch).withColumnsRenamed({"node": "fp", "component": "part"})
+        rank = F.least(F.coalesce("weight", F.lit(0)), F.lit((1 << 20) - 1)) * (1 << 43) + F.pmod(F.xxhash64("_key"), F.lit(1 << 43))
+        placed = texts.join(parts, "fp", "left").join(weight, "_key", "left")
+        placed = scratch.table(placed.select("_key", rank.alias("rank"), F.coalesce("part", "fp").alias("part"), "more"))
+        pairs = None
+        for t in range(0, tables - 1, AT_ONCE):
+            some = placed.select("rank", "part", F.posexplode(F.slice("more", t + 1, AT_ONCE)).alias("t", "fp"))
+            keys = keyed(some.select("rank", "part", (F.col("t") + t).cast("long").alias("t"), "fp"))
+            now = golay_pairs(keys.select(F.xxhash64("t", "key").alias("k"), "rank", "part"), scratch)
+            pairs = now if pairs is None else pairs.unionByName(now)
+        of = lambda side, name: placed.select(F.col("rank").alias(side), F.col("_key").alias(name))
+        met = pairs.distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+        found = found.unionByName(similar(docs, fps, met.distinct(), floor, scratch))
+        scratch.drop(placed)
+    scratch.drop(texts, weight)
+    return found
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1, floor: float | None = None, banded: bool = True) -> DataFrame:
     """doc_id, _key, fp, component (its least fingerprint) and component_id (its least doc_id) of every row.
 
-    Texts are linked if their fingerprints of any table differ in at most two
-    bits.  More tables find more of the near copies: a pair that one table links
-    with a chance p is missed by n tables with (1 - p) ** n.  With floor, texts
-    whose five-word similarity reaches it are linked as well.
+    Texts are linked if their fingerprints differ in at most two bits.  With
+    floor, texts whose five-word similarity reaches it are linked as well; their
+    candidates share a key of one of the tables beyond the first or, if banded,
+    a band.
     """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.table(fingerprints(docs, shingle, tables, floor is not None))
+    fps = scratch.table(fingerprints(docs, shingle, tables if floor is not None else 1, banded and floor is not None))
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(reps.withColumn("t", F.lit(0)), scratch).select("a", "b")
+    found = links(reps, scratch)
     scratch.release()
-    for t in range(1, tables, AT_ONCE):  # a few tables at a time, so that their keys need little disk
-        found = found.unionByName(more_links(fps, t, min(t + AT_ONCE, tables) - 1, scratch))
-        scratch.release()
     if floor is not None:
-        found = found.unionByName(similar_links(docs, fps, floor, scratch))
+        found = found.unionByName(similar_links(docs, fps, found, tables, floor, scratch))
         scratch.release()
     parts = connected_components(found, scratch)
     whole = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
