@@ -2,15 +2,19 @@
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
 import corpus_pipeline as P
 from plinth.llm._base import Scratch
 from tests.llm.conftest import ROWS, SCHEMA, collected
-from tests.llm.test_brute_force import brute_hits, brute_repeats, plain
+from tests.llm.test_brute_force import BPE, brute_components, brute_fingerprint, brute_hits, brute_repeats, plain
 from tests.oracle import SF
 
+REGISTERED = P.TABLES
+
 
 @pytest.fixture(autouse=True)
 def few_tables(monkeypatch):
@@ -77,10 +81,42 @@ def edited(rng, words, share):
             return before
 
 
+def test_run_equals_a_plain_chain(spark, monkeypatch):
+    """With the registered number of tables: all stages but the verdicts of the first, in plain Python."""
+    monkeypatch.setattr(P, "TABLES", REGISTERED)
+    from tokenizers import Tokenizer
+
+    docs = [(r.doc_id, r.text) for r in P.quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for _, t in docs]
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(plain, low)]
+    fps = [brute_fingerprint(t) for _, t in docs]
+    alike = lambda a, b: len(runs[a] & runs[b]) >= P.SIMILAR * len(runs[a] | runs[b]) or (fps[a] ^ fps[b]).bit_count() <= 2
+    parts = brute_components(range(len(docs)), [(a, b) for a, b in combinations(range(len(docs)), 2) if alike(a, b)])
+    least = {}
+    for i, c in parts.items():
+        least[c] = min(least.get(c, docs[i]), docs[i])
+    docs = sorted(least.values())
+    seen = Counter(tuple(w[i : i + 35]) for _, t in docs for w in [plain(t)] for i in range(len(w) - 34))
+    kept = []
+    for d, t in docs:
+        w = plain(t)
+        gone = {j + k for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for k in range(35)}
+        if not gone or len(gone) < len(w):
+            kept.append((d, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t))
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    hit = {r[0] for r in brute_hits(kept, items) if r[5]}
+    coder = Tokenizer.from_file(BPE)
+    want = {d: len(coder.encode(t, add_special_tokens=False).ids) + 1 for d, t in kept if d not in hit}
+    got = Counter()
+    for r in P.run(spark, SF).collect():
+        got[r.doc_id] += r.length
+    assert dict(got) == want and len(want) < 200
+
+
 @pytest.mark.parametrize("share", [0.8, 0.9, 0.5])
 def test_near_dedup_merges_edited_copies(spark, share, monkeypatch):
-    """With the registered similarity; unrelated texts and copies of half the text stay."""
-    monkeypatch.setattr(P, "TABLES", 1)
+    """With the registered similarity and tables; unrelated texts and copies of half the text stay."""
+    monkeypatch.setattr(P, "TABLES", REGISTERED)
     rng = random.Random(int(share * 100))
     word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(3, 8)))
     rows = []
