@@ -115,14 +115,14 @@ def _hits(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     d = _exploded(docs, sizes)
     met = d.join(p, (d["token"] == F.col("_token")) & (start >= 0) & (start + F.col("len") <= F.col("n")))
     met = scratch.table(met.select("doc_id", "_key", start.alias("start"), "len", "window").distinct())
-    few = is_at_most(met, BLOCK)
     met = met.join(_small(prefixes.select("window", "words")), "window")
     met = met.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "len", "window", "words")).alias("met"))
     met = scratch.table(met.withColumnsRenamed({"doc_id": "_id", "_key": "_k"}))
-    if few:
-        met = F.broadcast(met)
     # of rows that repeat as they are, one is compared
     t = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
+    # texts without a match are left out by their ids alone, before any is moved
+    ids = _small(met.select(F.col("_id").alias("_in"), F.col("_k").alias("_in_k")))
+    t = t.join(ids, t["doc_id"].eqNullSafe(F.col("_in")) & (t["_key"] == F.col("_in_k")), "left_semi")
     t = t.join(met, t["doc_id"].eqNullSafe(met["_id"]) & (t["_key"] == met["_k"])).dropDuplicates(["doc_id", "_key"])
     same = lambda w: F.filter("met", lambda m: F.slice(w, m["start"] + 1, m["len"]) == m["words"])
     found = F.transform(F.array(folded_words(F.col("text"))), same)[0]
