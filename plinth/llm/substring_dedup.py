@@ -138,7 +138,7 @@ def _rows(docs: DataFrame, width: int, starts: Callable[[np.ndarray, np.ndarray
                     own = [np.full(len(pos), x, kind) for x, kind in ((k1, np.int64), (k2, np.int32), (weight, np.int32))]
                     parts.append([own[0], own[1], pos.astype(np.int32), ha, hb, own[2]])
                     held += len(pos)
-                if held > 500_000:
+                if held > 100_000:
                     yield frame(parts)
                     parts, held = [], 0
             if parts:
