@@ -9,11 +9,11 @@ distance 3, also the five at distance 4.  Words that differ in up to two bits
 always share such a codeword, so segment and codeword index together make up
 to six keys a segment, and each near pair shares a key.
 
-Equal fingerprints are one fingerprint before the join.  Keys that only a few
-share are verified pair by pair within the key; keys that many share (clusters
-of near copies) by a second join that emits no pairs: fingerprints differ in at
-most two bits if and only if both are within one bit of a common centre, and all
-those around one centre are linked to the least of them.
+Equal fingerprints are one fingerprint before the join.  Whoever shares a key
+with another is verified by a second join that emits no pairs: fingerprints
+differ in at most two bits if and only if both are within one bit of a common
+centre, and all those around one centre are linked to the least of them.  That
+is 65 rows for each such fingerprint, however many share its keys.
 
 Two bits are few for copies that were edited.  With ``floor``, texts are also
 linked whose sets of five-word runs have at least that Jaccard similarity.
@@ -51,8 +51,6 @@ from plinth.llm.graph import connected_components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
-#: Members of a key that are compared pair by pair; keys of more go by centres.
-FEW = 16
 #: Further fingerprints whose keys are grouped in one go, so that keys need little disk at a time.
 AT_ONCE = 3
 #: Hashed orders whose first member is a hub.
@@ -185,30 +183,18 @@ def keyed(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of the distinct fp that join all fingerprints within two bits."""
-    written = keys = scratch.table(keyed(fps.select("fp")))
+    keys = scratch.table(keyed(fps.select("fp")))
     shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    # merged at every size: whether the few are small enough to send depends on the input
-    keys = keys.hint("merge")
-    few = keys.join(shared.where(F.col("n") <= FEW).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("all"))
-    near = F.flatten(
-        F.transform(
-            "all",
-            lambda x: F.transform(
-                F.filter("all", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= 2)),
-                lambda y: F.struct(x.alias("a"), y.alias("b")),
-            ),
-        )
-    )
-    pairs = few.select(F.explode(near).alias("p")).select("p.a", "p.b")
-    many = keys.join(shared.where(F.col("n") > FEW).select("key"), "key").select("fp").distinct()
+    # merged at every size: whether the shared keys are few enough to send depends on the input
+    mates = keys.hint("merge").join(shared.select("key"), "key").select("fp").distinct()
     flip = lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
     centres = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), flip))
-    balls = scratch.table(many.select("fp", F.explode(centres).alias("centre")))
+    balls = scratch.table(mates.select("fp", F.explode(centres).alias("centre")))
     hubs = balls.groupBy("centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hubs = scratch.table(hubs)
     stars = balls.join(hubs, "centre").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    out = scratch.table(pairs.unionByName(stars).distinct())
-    scratch.drop(written, shared, balls, hubs)
+    out = scratch.table(stars.distinct())
+    scratch.drop(keys, shared, balls, hubs)
     return out
 
 
