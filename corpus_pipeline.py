@@ -39,7 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that of the least doc_id.
 
     Texts are linked if their fingerprints differ in at most two bits, or if their five-word similarity is SIMILAR or more;
-    the Golay keys of TABLES - 1 further fingerprints and the bands of a MinHash find who to compare.
+    the Golay keys of TABLES - 1 further fingerprints and the bands of a MinHash find who to compare first, an exact search
+    whom they leave apart.
     """
     groups = simhash_golay.near_duplicates(docs, tables=TABLES, floor=SIMILAR)
     order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_key")

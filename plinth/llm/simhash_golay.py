@@ -23,7 +23,9 @@ size: no pairs are formed within a group, but each member meets the group's
 hubs, which are the text that shares most keys with others, by the sizes of
 the groups (in a cluster of copies that is the text they were made from), and
 the first by two hashed orders.  So candidates grow with the keys, and each is
-verified by the exact sets.
+verified by the exact sets.  Hubs join nearly all; like texts of which neither
+is a hub, or that share no key, are found by an exact search among the texts
+that are then still apart (``apart``), so that every link counts.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; a text of one or two words has one shingle, the whole.  Repeated
@@ -41,7 +43,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.llm._base import Scratch, table, text_key
@@ -57,6 +59,8 @@ AT_ONCE = 3
 ORDERS = 2
 #: Words of a run whose sets tell similarity, bands of the MinHash and minima in each: at 0.8 one pair in 2,500 shares no band.
 RUN, BANDS, MINIMA = 5, 20, 5
+#: Share of the runs that tells most texts without a partner; any is exact, a share over 1 - floor tells something.
+SAMPLE = 0.35
 _rng = np.random.default_rng(5)
 FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -242,21 +246,42 @@ def golay_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def similar(docs: DataFrame, fps: DataFrame, met: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
-    """(a, b): first fingerprints of those pairs of texts (x, y) whose sets of runs have at least the similarity floor."""
-    met = scratch.table(met)
+def run_sets(docs: DataFrame, fps: DataFrame, keys: DataFrame) -> DataFrame:
+    """_key, fp and runs (their hashes) of the texts with these keys."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"_key": b["_key"], "fp": b["fp"], "runs": [run_set(t).view(np.int64) for t in b["text"]]})
 
     # of equal texts one is read
-    wanted = met.select(F.explode(F.array("x", "y")).alias("_key")).distinct()
-    wanted = fps.join(wanted, "_key", "left_semi").groupBy("_key").agg(F.min("doc_id").alias("one"), F.first("fp").alias("fp"))
-    wanted = scratch.table(wanted.withColumnRenamed("_key", "wanted"))
+    wanted = fps.join(keys, "_key", "left_semi").groupBy("_key").agg(F.min("doc_id").alias("one"), F.first("fp").alias("fp"))
+    wanted = wanted.withColumnRenamed("_key", "wanted")
     d = docs.select(F.col("doc_id").alias("doc"), text_key(F.col("text")).alias("_key"), "text")
     d = d.join(wanted, (d["_key"] == wanted["wanted"]) & d["doc"].eqNullSafe(wanted["one"])).select("_key", "fp", "text")
-    sets = scratch.table(d.mapInPandas(each, "_key long, fp long, runs array<long>").dropDuplicates(["_key"]))
+    return d.mapInPandas(each, "_key long, fp long, runs array<long>").dropDuplicates(["_key"])
+
+
+def sampled_sets(docs: DataFrame) -> DataFrame:
+    """_key, n (the size of the set of runs) and runs, those of it whose hash is in the lowest SAMPLE, of each text with words."""
+
+    def sample(text: str | None) -> tuple[int, np.ndarray]:
+        runs = run_set(text)  # in order of the hashes
+        return len(runs), runs[: np.searchsorted(runs, np.uint64(SAMPLE * 2.0**64))].view(np.int64).copy()
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [sample(t) for t in b["text"]]
+            yield pd.DataFrame({"_key": b["_key"], "n": [n for n, _ in found], "runs": [r for _, r in found]})
+
+    d = docs.select(text_key(F.col("text")).alias("_key"), "text").mapInPandas(each, "_key long, n long, runs array<long>")
+    return d.where("n > 0").groupBy("_key").agg(F.first("n").alias("n"), F.first("runs").alias("runs"))
+
+
+def similar(docs: DataFrame, fps: DataFrame, met: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
+    """(a, b): first fingerprints of those pairs of texts (x, y) whose sets of runs have at least the similarity floor."""
+    met = scratch.table(met)
+    wanted = scratch.table(met.select(F.explode(F.array("x", "y")).alias("_key")).distinct())
+    sets = scratch.table(run_sets(docs, fps, wanted))
     of = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}") for c in sets.columns])
     both = F.size(F.array_intersect("runs_x", "runs_y"))
     least = floor * (F.size("runs_x") + F.size("runs_y") - both)
@@ -269,10 +294,61 @@ def similar(docs: DataFrame, fps: DataFrame, met: DataFrame, floor: float, scrat
     return out
 
 
+def apart(docs: DataFrame, fps: DataFrame, known: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
+    """(x, y): texts that the known links (a, b) leave in different parts, among them every such pair with at least the similarity floor.
+
+    Nothing here depends on groups, hubs or chance.  Like texts of two parts
+    share floor of the runs of each, so whoever lacks more than the rest, among
+    the runs that occur in two parts, has no partner; a sample of the runs tells
+    that of most.  In an order of all runs, rare ones first, like texts share one
+    of so many first runs as they may differ in, and one more (the prefix
+    filter), and from the first that they share enough must be left.
+    """
+    parts = connected_components(known, scratch).withColumnsRenamed({"node": "fp", "component": "part"})
+    placed = fps.groupBy("_key").agg(F.first("fp").alias("fp")).join(parts, "fp", "left")
+    placed = scratch.table(placed.select("_key", F.coalesce("part", "fp").alias("part")))
+    spare = F.col("n") - F.ceil(F.col("n") * floor)
+    ends = [F.min("part").alias("p"), F.max("part").alias("q")]
+
+    some = scratch.table(sampled_sets(docs).join(placed, "_key"))
+    rows = some.select("_key", "part", F.explode("runs").alias("run"))
+    crossing = scratch.table(rows.groupBy("run").agg(*ends).where("p < q").select("run"))
+    held = rows.hint("merge").join(crossing, "run", "left_semi").groupBy("_key").agg(F.count("*").alias("held"))
+    open_ = some.join(held, "_key", "left").where(F.size("runs") - F.coalesce("held", F.lit(0)) <= spare).select("_key")
+    open_ = scratch.table(open_)
+    scratch.drop(some, crossing)
+
+    sets = scratch.table(run_sets(docs, fps, open_).join(placed, "_key").select("_key", "part", F.size("runs").alias("n"), "runs"))
+    rows = sets.select("_key", "part", "n", F.explode("runs").alias("run"))
+    crossing = scratch.table(rows.groupBy("run").agg(*ends, F.count("*").alias("texts")).where("p < q").select("run", "texts"))
+    shared = rows.hint("merge").join(crossing, "run")
+    w = Window.partitionBy("_key")
+    at = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("texts", "run")) - 1
+    first = scratch.table(shared.select("_key", "part", "n", "run", at.alias("at")).where(F.col("at") <= spare))
+    scratch.drop(open_, placed, sets, crossing)
+    scratch.release()
+
+    # a pair of two parts has a member outside of any one part; that of a text by hash is nearly always the one that holds nearly all
+    one = F.max(F.struct(F.xxhash64("run", "_key").alias("order"), "part"))["part"]
+    main = scratch.table(first.groupBy("run").agg(*ends, one.alias("main")).where("p < q").select("run", "main"))
+    of = lambda df, side: df.select("run", *[F.col(c).alias(f"{c}_{side}") for c in ("_key", "part", "n", "at")])
+    others = of(first.hint("merge").join(main, "run").where("part <> main"), "x")
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    enough = left >= floor * (F.col("n_x") + F.col("n_y") - left)
+    sizes = (F.col("n_x") >= floor * F.col("n_y")) & (F.col("n_y") >= floor * F.col("n_x"))
+    y = of(first, "y").withColumnRenamed("run", "run_y")
+    met = others.hint("merge").join(y, (F.col("run") == F.col("run_y")) & (F.col("part_x") != F.col("part_y")) & sizes & enough)
+    out = scratch.table(met.select(F.least("_key_x", "_key_y").alias("x"), F.greatest("_key_x", "_key_y").alias("y")).distinct())
+    scratch.drop(first, main)
+    scratch.release()
+    return out
+
+
 def similar_links(docs: DataFrame, fps: DataFrame, known: DataFrame, tables: int, floor: float, scratch: Scratch) -> DataFrame:
     """(a, b): first fingerprints of similar texts whose components are not the same by the known links (a, b).
 
     Bands come first; Golay keys then propose only pairs that are still apart.
+    What both leave apart is searched exactly, so that no link is lost.
     """
     texts = scratch.table(fps.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("fp", "more", "bands")]))
     met, weight = band_pairs(texts.select(F.explode("bands").alias("k"), "_key"), scratch)
@@ -293,16 +369,16 @@ def similar_links(docs: DataFrame, fps: DataFrame, known: DataFrame, tables: int
         found = found.unionByName(similar(docs, fps, met.distinct(), floor, scratch))
         scratch.drop(placed)
     scratch.drop(texts, weight)
-    return found
+    return found.unionByName(similar(docs, fps, apart(docs, fps, known.unionByName(found), floor, scratch), floor, scratch))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1, floor: float | None = None, banded: bool = True) -> DataFrame:
     """doc_id, _key, fp, component (its least fingerprint) and component_id (its least doc_id) of every row.
 
     Texts are linked if their fingerprints differ in at most two bits.  With
-    floor, texts whose five-word similarity reaches it are linked as well; their
-    candidates share a key of one of the tables beyond the first or, if banded,
-    a band.
+    floor, texts whose five-word similarity reaches it are linked as well, all
+    of them: first those that share a key of one of the tables beyond the first
+    or, if banded, a band, then those that these leave apart.
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.table(fingerprints(docs, shingle, tables if floor is not None else 1, banded and floor is not None))

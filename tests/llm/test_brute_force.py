@@ -391,6 +391,30 @@ def test_similar_texts_are_linked_in_clusters(spark):
     assert links(got) >= 0.98 * links(want), (links(got), links(want))
 
 
+def test_all_similar_texts_are_linked(spark):
+    """Long and short texts, cuts and edits about the floor, a common line: the components of all pairs, exactly."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(3, 8)))
+    line, texts = [word() for _ in range(12)], []
+    for i in range(60):
+        w = [word() for _ in range(rng.choice([5, 6, 9, 14, 30, 60, 120]))] + line * (i % 3 == 0)
+        texts.append(w)
+        for _ in range(rng.randint(1, 5)):
+            w = list(w if rng.random() < 0.5 else texts[-1])
+            cut = rng.randint(0, len(w) // 4)
+            w = w[cut:] if rng.random() < 0.4 else w[: len(w) - cut] if rng.random() < 0.4 else w
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = word()
+            texts.append(w)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in texts]
+    fps = [brute_fingerprint(" ".join(t)) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 2
+    want = brute_components(range(len(texts)), [p for p in combinations(range(len(texts)), 2) if alike(*p)])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for options in ({"tables": 2}, {"banded": False}):
+        assert {r.doc_id: r.component_id for r in simhash_golay.near_duplicates(df, floor=0.8, **options).collect()} == want, options
+
+
 @pytest.mark.parametrize("seed", [2, 16])
 def test_links_join_clusters_of_any_size(spark, seed):
     rng = random.Random(seed)

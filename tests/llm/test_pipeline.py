@@ -129,3 +129,18 @@ def test_near_dedup_merges_edited_copies(spark, share, monkeypatch):
         assert len(kept) == 40
     else:
         assert len(kept) > 70
+
+
+def test_near_dedup_merges_copies_of_which_neither_is_a_hub(spark, monkeypatch):
+    """All texts share one band: three hubs meet every text, so copies of the others must be found without them."""
+    monkeypatch.setattr(P, "TABLES", 1)
+    monkeypatch.setattr(P.simhash_golay, "bands", lambda text: [7])
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(3, 8)))
+    line = [word() for _ in range(20)]
+    rows = []
+    for i in range(30):
+        w = [word() for _ in range(120)] + line
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited(rng, w, P.SIMILAR)))]
+    kept = {r.doc_id for r in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0}
