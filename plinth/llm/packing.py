@@ -114,10 +114,12 @@ def patterns(capacity: int, stride: int) -> np.ndarray:
     """All pairs of lengths that add up to capacity, and one in ``stride`` of the triples; 0 pads."""
     a = np.arange(1, capacity // 2 + 1)
     pairs = np.stack([capacity - a, a, np.zeros_like(a)], axis=1)
-    big, mid = np.meshgrid(np.arange(1, capacity), np.arange(1, capacity), indexing="ij")
-    low = capacity - big - mid
-    ok = (low >= 1) & (low <= mid) & (mid <= big) & ((big + 3 * mid) % stride == 0)
-    return np.concatenate([pairs, np.stack([big[ok], mid[ok], low[ok]], axis=1)])
+    triples = []
+    for big in range(1, capacity):  # one at a time: the square of all would take the driver 170 MB
+        mid = np.arange((capacity - big + 1) // 2, min(big, capacity - big - 1) + 1)
+        mid = mid[(big + 3 * mid) % stride == 0]
+        triples.append(np.stack([np.full_like(mid, big), mid, capacity - big - mid], axis=1))
+    return np.concatenate([pairs, *triples])
 
 
 def nonnegative_least_squares(index: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:

@@ -295,7 +295,7 @@ def similar(docs: DataFrame, fps: DataFrame, met: DataFrame, floor: float, scrat
 
 
 def apart(docs: DataFrame, fps: DataFrame, known: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
-    """(x, y): texts that the known links (a, b) leave in different parts, among them every such pair with at least the similarity floor.
+    """(x, y): texts that the known components (node, component) leave in different parts, among them every such pair with at least the similarity floor.
 
     Nothing here depends on groups, hubs or chance.  Like texts of two parts
     share floor of the runs of each, so whoever lacks more than the rest, among
@@ -304,7 +304,7 @@ def apart(docs: DataFrame, fps: DataFrame, known: DataFrame, floor: float, scrat
     of so many first runs as they may differ in, and one more (the prefix
     filter), and from the first that they share enough must be left.
     """
-    parts = connected_components(known, scratch).withColumnsRenamed({"node": "fp", "component": "part"})
+    parts = known.withColumnsRenamed({"node": "fp", "component": "part"})
     placed = fps.groupBy("_key").agg(F.first("fp").alias("fp")).join(parts, "fp", "left")
     placed = scratch.table(placed.select("_key", F.coalesce("part", "fp").alias("part")))
     spare = F.col("n") - F.ceil(F.col("n") * floor)
@@ -344,17 +344,17 @@ def apart(docs: DataFrame, fps: DataFrame, known: DataFrame, floor: float, scrat
     return out
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, known: DataFrame, tables: int, floor: float, scratch: Scratch) -> DataFrame:
-    """(a, b): first fingerprints of similar texts whose components are not the same by the known links (a, b).
+def similar_parts(docs: DataFrame, fps: DataFrame, known: DataFrame, tables: int, floor: float, scratch: Scratch) -> DataFrame:
+    """(node, component) of first fingerprints by the known links (a, b) and the similarity of texts.
 
     Bands come first; Golay keys then propose only pairs that are still apart.
     What both leave apart is searched exactly, so that no link is lost.
     """
     texts = scratch.table(fps.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("fp", "more", "bands")]))
     met, weight = band_pairs(texts.select(F.explode("bands").alias("k"), "_key"), scratch)
-    found = similar(docs, fps, met, floor, scratch)
+    whole = scratch.table(connected_components(known.unionByName(similar(docs, fps, met, floor, scratch)), scratch))
     if tables > 1:
-        parts = connected_components(known.unionByName(found), scratch).withColumnsRenamed({"node": "fp", "component": "part"})
+        parts = whole.withColumnsRenamed({"node": "fp", "component": "part"})
         rank = F.least(F.coalesce("weight", F.lit(0)), F.lit((1 << 20) - 1)) * (1 << 43) + F.pmod(F.xxhash64("_key"), F.lit(1 << 43))
         placed = texts.join(parts, "fp", "left").join(weight, "_key", "left")
         placed = scratch.table(placed.select("_key", rank.alias("rank"), F.coalesce("part", "fp").alias("part"), "more"))
@@ -366,10 +366,11 @@ def similar_links(docs: DataFrame, fps: DataFrame, known: DataFrame, tables: int
             pairs = now if pairs is None else pairs.unionByName(now)
         of = lambda side, name: placed.select(F.col("rank").alias(side), F.col("_key").alias(name))
         met = pairs.distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
-        found = found.unionByName(similar(docs, fps, met.distinct(), floor, scratch))
+        whole = connected_components(similar(docs, fps, met.distinct(), floor, scratch), scratch, known=whole)
         scratch.drop(placed)
     scratch.drop(texts, weight)
-    return found.unionByName(similar(docs, fps, apart(docs, fps, known.unionByName(found), floor, scratch), floor, scratch))
+    last = similar(docs, fps, apart(docs, fps, whole, floor, scratch), floor, scratch)
+    return connected_components(last, scratch, known=whole)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1, floor: float | None = None, banded: bool = True) -> DataFrame:
@@ -386,9 +387,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, tables: int = 1, floor
     found = links(reps, scratch)
     scratch.release()
     if floor is not None:
-        found = found.unionByName(similar_links(docs, fps, found, tables, floor, scratch))
+        parts = similar_parts(docs, fps, found, tables, floor, scratch)
         scratch.release()
-    parts = connected_components(found, scratch)
+    else:
+        parts = connected_components(found, scratch)
     whole = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     whole = scratch.table(whole)
     names = scratch.table(whole.groupBy("component").agg(F.min("rep").alias("component_id")))

@@ -116,6 +116,19 @@ def test_packing_of_long_runs(spark):
     assert {r.doc_id: r.n for r in got} == {0: 1_000_002, 1: 500_004, 2: 250_003, 3: 15_628}
 
 
+def test_patterns_take_little_memory():
+    import tracemalloc
+
+    for capacity, stride in ((64, 3), (61, 1), (1, 1)):
+        triples = [(a, b, capacity - a - b) for a in range(1, capacity) for b in range(1, a + 1) if 1 <= capacity - a - b <= b and (a + 3 * b) % stride == 0]
+        assert packing.patterns(capacity, stride).tolist() == [*([capacity - a, a, 0] for a in range(1, capacity // 2 + 1)), *map(list, triples)]
+    tracemalloc.start()
+    packing.patterns(2048, 61)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000  # in the driver, beside Spark
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_plans_hold_all_pieces(lengths):
@@ -447,6 +460,29 @@ def test_components_of_a_hub_and_a_chain(spark):
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Rounds are what fills the driver with stages and tasks: none where the edges are components already."""
+    monkeypatch.setattr(graph, "_star", lambda *a, **b: pytest.fail("a round"))
+    edges = [(0, i) for i in range(1, 60)] + [(61, 60), (60, 61), (62, 62), (None, 3)]
+    got = graph.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(60), 0) | {60: 60, 61: 60} and len(got) == 62
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_more_edges(spark, seed):
+    """Edges added to known components: new nodes, edges within, between and between new ones, loops and nulls."""
+    rng = random.Random(seed)
+    some = lambda n, top: [(rng.randrange(top), rng.randrange(top)) for _ in range(n)]
+    first, more = some(25, 60), [*some(25, 90), (5, 5), (None, 1), (95, 95), (96, 97)] if seed else []
+    frame, scratch = lambda e: spark.createDataFrame(e, "a long, b long"), Scratch(spark)
+    known = scratch.table(graph.connected_components(frame(first), scratch))
+    got = graph.connected_components(frame(more), scratch, known=known).collect()
+    edges = [(a, b) for a, b in first + more if a is not None and a != b]
+    want = brute_components({x for e in edges for x in e}, edges)
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
 # url filter
 
 
