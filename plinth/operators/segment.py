@@ -6,7 +6,11 @@ and no sort: every step below is a projection.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,24 +122,67 @@ def clustered_lines(fragments: DataFrame, eps: float = 2.5) -> DataFrame:
     fragment lies within eps of its height; later ones do not move that height,
     so lines are folded from the top, one page side at a time.
     """
+    sided = fragments.where("NOT rotated").withColumn("side", (F.col("x") >= F.col("gutter")).cast("int"))
+    part = F.struct(F.col("page").cast("int").alias("page"), "side", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")
+    parts = F.collect_list(part).alias("parts")
+    return lines_of_parts(sided.groupBy("doc_id", "page", "side").agg(parts).select("doc_id", "parts"), eps)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for r in group.sort_values(["y", "x"], ascending=[False, True]).itertuples(index=False):
-            if rows and abs(rows[-1][0] - r.y) <= eps:
-                rows[-1][1].append((r.x, r.text))
-            else:
-                rows.append([r.y, [(r.x, r.text)]])
-        out: list[tuple] = []
-        for _, items in rows:
-            items.sort(key=lambda t: t[0])
-            text = " ".join("".join(t for _, t in items).split())
-            if text:
-                out.append((group.doc_id.iloc[0], group.page.iloc[0], group.side.iloc[0], len(out) + 1, round(items[0][0]), text))
-        return pd.DataFrame(out, columns=["doc_id", "page", "side", "line", "indent", "text"])
 
-    sided = fragments.where("NOT rotated").withColumn("side", (F.col("x") >= F.col("gutter")).cast("int"))
-    kind = fragments.schema["doc_id"].dataType.simpleString()
-    return sided.groupBy("doc_id", "page", "side").applyInPandas(
-        fold, f"doc_id {kind}, page int, side int, line int, indent int, text string"
-    )
+def lines_of_parts(rows: DataFrame, eps: float = 2.5, most: int = 200_000) -> DataFrame:
+    """As clustered_lines, of arrays: doc_id and parts (page, side, x, y, text), all fragments of a page side in one row; side is 0 left of the gutter.
+
+    No rows are shuffled.  Sorting is done for very many page sides at once, of
+    about ``most`` fragments.
+    """
+
+    def lines(docs: pa.Array, first: list[int], parts: pa.StructArray) -> pa.RecordBatch:
+        page, side = (np.asarray(parts.field(i)) for i in (0, 1))
+        x, y = (np.asarray(parts.field(i), dtype=float) for i in (2, 3))
+        text = parts.field(4).to_pylist()
+        row = np.repeat(np.arange(len(docs)), np.diff(first))
+        order = np.lexsort((x, -y, side, page, row))
+        row, page, side, x, y = (v[order] for v in (row, page, side, x, y))
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (page[1:] != page[:-1]) | (side[1:] != side[:-1])
+        top, starts = 0.0, new.tolist()
+        for i, (start, height) in enumerate(zip(starts, y.tolist(), strict=True)):
+            if start or not abs(top - height) <= eps:
+                top, starts[i] = height, True
+        begin = np.flatnonzero(starts)
+        # within a line from left to right; equals stay in order of height
+        inner = np.lexsort((x, np.cumsum(starts)))
+        joined = [text[i] for i in order[inner].tolist()]
+        ends = [*begin[1:].tolist(), len(joined)]
+        texts = [" ".join("".join(joined[a:b]).split()) for a, b in zip(begin.tolist(), ends, strict=True)]
+        kept = np.array([t != "" for t in texts], dtype=bool)
+        # lines with text are counted from 1 within their page side
+        n = np.cumsum(kept)
+        of_side = np.cumsum(new)[begin]
+        before = np.concatenate(([0], n))[:-1][np.searchsorted(of_side, of_side)]
+        at = begin[kept]
+        columns = [page[at], side[at], (n - before)[kept], np.rint(x[inner][at])]
+        return pa.RecordBatch.from_arrays(
+            [docs.take(pa.array(row[at])), *[pa.array(c.astype(np.int32)) for c in columns], pa.array([t for t in texts if t], pa.string())],
+            ["doc_id", "page", "side", "line", "indent", "text"],
+        )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, parts = batch.column(0), batch.column(1)
+            offsets = np.asarray(parts.offsets)
+            for a, b in spans(offsets, most):
+                first = offsets[a : b + 1]
+                if first[-1] > first[0]:
+                    yield lines(docs.slice(a, b - a), first, parts.values.slice(first[0], first[-1] - first[0]))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(each, f"doc_id {kind}, page int, side int, line int, indent int, text string")
+
+
+def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of array rows with about so many elements together; a longer row stands alone."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, b
+        a = b

@@ -320,6 +320,41 @@ def test_line_clusters_equal_loop(spark):
     assert sorted(got) == sorted(want) and len(want) > 1000
 
 
+def test_line_clusters_need_no_shuffle(spark):
+    """The query folds arrays of whole documents, in Python for many page sides at once, and gives the lines that rows give."""
+    from plinth.plans.pages import fragments, line_cluster
+    from tests.oracle import SF
+
+    q = line_cluster(spark, SF)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, S.clustered_lines(fragments(spark, SF)).collect()))
+
+
+def test_line_clusters_in_small_pieces(spark):
+    """Pages of many heights, blank fragments and equal places, in pieces of a few fragments."""
+    rng = random.Random(3)
+    schema = "doc_id string, parts array<struct<page:int,side:int,x:double,y:double,text:string>>"
+    docs = []
+    for d in range(40):
+        parts = [(rng.randint(1, 3), rng.randint(0, 1), float(rng.randint(0, 9)), rng.randint(0, 40) / 2, rng.choice(["a ", "b", " ", "", "c\n"])) for _ in range(rng.randint(0, 30))]
+        docs.append((f"d{d}", parts))
+    want = []
+    for doc, parts in docs:
+        for page, side in sorted({p[:2] for p in parts}):
+            lines = []
+            for p in sorted([p for p in parts if p[:2] == (page, side)], key=lambda p: (-p[3], p[2])):
+                if lines and lines[-1][0][3] - p[3] <= 2.5:
+                    lines[-1].append(p)
+                else:
+                    lines.append([p])
+            lines = [sorted(x, key=lambda p: p[2]) for x in lines]
+            texts = [(round(x[0][2]), " ".join("".join(p[4] for p in x).split())) for x in lines]
+            want += [(doc, page, side, n, i, t) for n, (i, t) in enumerate([x for x in texts if x[1]], 1)]
+    got = S.lines_of_parts(spark.createDataFrame(docs, schema), most=7).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
 def test_body_clean_equals_python(spark):
     import re
     import unicodedata
