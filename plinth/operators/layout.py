@@ -21,14 +21,14 @@ CONTENTS = r"(?i)^(?:발표\s*구성|목차|차례)$"
 def without_page_numbers(items: DataFrame) -> DataFrame:
     """Items but page numbers; items has slide_width and slide_height."""
     corner = (F.col("top") >= F.col("slide_height") * 0.85) & (F.col("left") >= F.col("slide_width") * 0.75)
-    number = F.col("text").rlike(PAGE) | (F.col("text").rlike(r"^\d{1,3}$") & corner)
+    number = F.col("text").rlike(T.at_end(PAGE)) | (F.col("text").rlike(r"^\d{1,3}\z") & corner)
     return items.where(~number)
 
 
 def titles(items: DataFrame) -> DataFrame:
     """deck_id, slide, item_id, text of each slide's title: the largest font of the upper 40 %, the topmost of equals."""
     ok = F.col("source_type").isin("text", "chart_title") & (F.col("top") < F.col("slide_height") * 0.40)
-    ok = ok & ~F.col("text").rlike(r"^\d{1,4}(?:[–-]\d{1,4})?$")
+    ok = ok & ~F.col("text").rlike(r"^\d{1,4}(?:[–-]\d{1,4})?\z")
     w = Window.partitionBy("deck_id", "slide").orderBy(F.desc("font_size"), "top", "item_id")
     return items.where(ok).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("deck_id", "slide", "item_id", "text")
 
@@ -57,16 +57,16 @@ def tagged(items: DataFrame) -> DataFrame:
     tag = (
         F.when(is_title, "제목")
         .when(t.rlike(SOURCE), "출처표기")
-        .when(F.coalesce(F.col("t_text").rlike(CONTENTS), F.lit(False)), "목차항목")
+        .when(F.coalesce(F.col("t_text").rlike(T.at_end(CONTENTS)), F.lit(False)), "목차항목")
         .when((F.col("source_type") == "table_row") | F.startswith("source_type", F.lit("chart_data_")), "행")
         .when(F.col("source_type") == "chart_title", "카드헤더")
         .when(t.rlike(r"^(?:18|19|20)\d{2}(?:[–—-]\d{2,4})?\s*\S") & (n > 6), "연표행")
-        .when(t.rlike(r"^[+−-]?\d+(?:[.,]\d+)?\s*(?:%|배|명|개|건|점|종|균주)?$"), "스탯")
+        .when(t.rlike(r"^[+−-]?\d+(?:[.,]\d+)?\s*(?:%|배|명|개|건|점|종|균주)?\z"), "스탯")
         .when(t.rlike(T.BULLET), "불릿")
         .when(t.rlike("^[“”\"‘’']"), "인용")
         .when(subtitle, "부제")
         .when((med > 0) & (font >= med * 1.2) & (n <= 45), "카드헤더")
-        .when((n >= 55) | t.rlike(r"[.!?。]$"), "카드본문")
+        .when((n >= 55) | t.rlike(r"[.!?。]\z"), "카드본문")
         .otherwise("본문")
     )
     repeated = F.when((font >= med * 1.05) & (n <= 35), "카드헤더").otherwise("불릿")

@@ -287,6 +287,20 @@ def test_shape_without_title(spark):
     assert L.tagged(items).count() == 1
 
 
+def test_rules_for_ends_see_last_line_breaks(spark):
+    """As in SQL, an end is the end of the text, not the place before a last line break."""
+    schema = "deck_id string, slide int, item_id int, text string, top int, left int, width int, height int, font_size double, source_type string, slide_width int, slide_height int"
+    texts = ["Title", "a.", "a.\n", "12%\n", "7\n", "1 / 2\u2028"]
+    rows = [("d", 1, i, t, 990 if i else 0, 900 - i, 10, 10, 10.0 if i else 40.0, "text", 1000, 1000) for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, schema)
+    assert {r.item_id for r in L.without_page_numbers(items).collect()} == {0, 1, 2, 3, 4, 5}
+    assert [r.tag for r in L.tagged(items).orderBy("item_id").collect()][:4] == ["제목", "카드본문", "본문", "본문"]
+    low = spark.createDataFrame([("d", 1, 0, "목차\n", 0, 0, 10, 10, 40.0, "text", 1000, 1000), ("d", 1, 1, "x", 500, 1, 10, 10, 10.0, "text", 1000, 1000), ("e", 1, 0, "12\n", 0, 0, 10, 10, 40.0, "text", 1000, 1000)], schema)
+    assert L.titles(low).count() == 2
+    assert {r.tag for r in L.tagged(low.where("deck_id = 'd'")).collect()} == {"제목", "본문"}
+    assert column(spark, ["a 12", "a 12\r"], T.is_running_head) == [True, False]
+
+
 def test_line_clusters_compare_with_the_first(spark):
     f = [("d", 1, float(x), y, t, False, 300.0) for x, y, t in [(1, 10.0, "a"), (2, 8.0, "b"), (3, 6.5, "c")]]
     df = spark.createDataFrame(f, "doc_id string, page int, x double, y double, text string, rotated boolean, gutter double")
