@@ -6,10 +6,10 @@ and no sort: every step below is a projection.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,27 +84,57 @@ def merged_sentences(sents: DataFrame, key: str = "doc_id", least: int = 6) -> D
     before if both are of one paragraph and no heading, and it is very short, or
     what is before, as already merged, has open brackets or no proper end.
     Each step depends on the one before, so a document's sentences are folded in
-    order, in one task for each document.
+    order.
     """
+    one = F.struct("ord", F.col("paragraph").cast("int").alias("paragraph"), "text", "is_heading")
+    s = F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("ord"))
+    return merged_arrays(sents.groupBy(key).agg(s.alias("sents")), key, least)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for k, p, text, head in group.sort_values("ord")[[key, "paragraph", "text", "is_heading"]].itertuples(index=False):
-            if rows and rows[-1][1] == p and not head and not rows[-1][4]:
-                before = rows[-1][3]
-                if len(text.strip()) < least or _unbalanced(before) or not before.rstrip().endswith(tuple(T.ENDINGS)):
-                    rows[-1][3] = before + " " + text
-                    continue
-            rows.append([k, p, len(rows) + 1, text, head])
-        return pd.DataFrame(rows, columns=[key, "paragraph", "ord", "text", "is_heading"])
 
-    kind = sents.schema[key].dataType.simpleString()
-    cols = sents.select(key, "paragraph", "ord", "text", "is_heading")
-    return cols.groupBy(key).applyInPandas(fold, f"{key} {kind}, paragraph int, ord int, text string, is_heading boolean")
+def merged_arrays(rows: DataFrame, key: str = "doc_id", least: int = 6, most: int = 100_000) -> DataFrame:
+    """As merged_sentences, of arrays: key and sents (paragraph, text, is_heading) of a document in order.
 
+    No rows are shuffled.  What tells whether a merged sentence is whole is kept
+    up as it grows, so it is not read again with each part; about ``most`` parts
+    are folded at once.
+    """
+    marks = re.compile("[" + re.escape("".join(T.PAIRS)) + "]")
+    endings = tuple(T.ENDINGS)
+
+    def merge(docs: pa.Array, first: list[int], sents: pa.StructArray) -> pa.RecordBatch:
+        paragraphs, texts, heads = (sents.field(i).to_pylist() for i in range(3))
+        out: list[tuple] = []
+        for doc, (a, b) in enumerate(zip(first, first[1:])):
+            n, last, parts, open_, tail = 0, None, [], {}, ""
+            for p, text, head in zip(paragraphs[a:b], texts[a:b], heads[a:b]):
+                if n and last == p and not head and not out[-1][3] and (
+                    len(text.strip()) < least or any(open_.values()) or not tail.endswith(endings)
+                ):
+                    parts.append(text)
+                else:
+                    n, last, parts, open_, tail = n + 1, p, [text], {}, ""
+                    out.append((doc, p, n, head, parts))
+                if marks.search(text):
+                    for x, y in T.PAIRS:
+                        open_[x] = open_.get(x, 0) + text.count(x) - text.count(y)
+                tail = text.rstrip() or tail
+        doc, paragraph, ord, head, parts = zip(*out)
+        return pa.RecordBatch.from_arrays(
+            [docs.take(pa.array(doc)), pa.array(paragraph, pa.int32()), pa.array(ord, pa.int32()), pa.array([" ".join(x) for x in parts], pa.string()), pa.array(head, pa.bool_())],
+            [key, "paragraph", "ord", "text", "is_heading"],
+        )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, sents = batch.column(0), batch.column(1)
+            offsets = np.asarray(sents.offsets)
+            for a, b in spans(offsets, most):
+                x, y = offsets[a], offsets[b]
+                if y > x:
+                    yield merge(docs.slice(a, b - a), (offsets[a : b + 1] - x).tolist(), sents.values.slice(x, y - x))
 
-def _unbalanced(text: str) -> bool:
-    return any(text.count(a) != text.count(b) for a, b in T.PAIRS)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "sents").mapInArrow(each, f"{key} {kind}, paragraph int, ord int, text string, is_heading boolean")
 
 
 def paragraph_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,6 +145,18 @@ def paragraph_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return s.withColumn("is_heading", T.is_heading(F.col("text")))
 
 
+def paragraph_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and sents (paragraph, text, is_heading), the raw sentences of paragraph_sentences in order, without a shuffle."""
+
+    def of_line(line: Column, i: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(line, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda t: F.trim(t))
+        return F.transform(
+            F.filter(found, lambda t: t != ""), lambda t: F.struct(i.alias("paragraph"), t.alias("text"), T.is_heading(t).alias("is_heading"))
+        )
+
+    return docs.select(key, F.flatten(F.transform(F.split(text, "\n"), of_line)).alias("sents"))
+
+
 def clustered_lines(fragments: DataFrame, eps: float = 2.5) -> DataFrame:
     """doc_id, page, side, line, indent, text: fragments (doc_id, page, x, y, text) of a page in reading order.
 

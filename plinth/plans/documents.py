@@ -86,7 +86,7 @@ def passage_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sentence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that were cut too early, put back together."""
-    return S.merged_sentences(S.paragraph_sentences(documents(spark, sf_dir)))
+    return S.merged_arrays(S.paragraph_arrays(documents(spark, sf_dir)))
 
 
 @query(

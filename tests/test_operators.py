@@ -87,6 +87,33 @@ def test_sentence_merge_equals_loop(spark):
     assert found == {d: t for d, t in want.items() if t}
 
 
+def test_sentence_merge_needs_no_shuffle(spark):
+    """The query folds arrays of whole documents and gives what rows of sentences give; so do pieces of few sentences."""
+    from plinth.plans.documents import sentence_merge
+    from tests.oracle import SF
+
+    q = sentence_merge(spark, SF)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroupsInPandas" not in plan
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {tuple(r) for r in q.collect()}
+    assert got == {tuple(r) for r in S.merged_sentences(S.paragraph_sentences(docs)).collect()} and len(got) > 1000
+    assert got == {tuple(r) for r in S.merged_arrays(S.paragraph_arrays(docs), most=5).collect()}
+    raw = {}
+    for r in S.paragraph_sentences(docs).orderBy("doc_id", "ord").collect():
+        raw.setdefault(r.doc_id, []).append((r.paragraph, r.text, r.is_heading))
+    assert got == {(d, p, n, t, h) for d, own in raw.items() for n, (p, t, h) in enumerate(merged(own), 1)}
+
+
+def test_sentence_merge_of_one_long_open_bracket(spark):
+    """A bracket that never closes: many thousand parts of one sentence, each looked at once; blank parts keep the end before."""
+    parts = ["(open."] + ["more of it here."] * 60_000
+    schema = "doc_id int, sents array<struct<paragraph:int,text:string,is_heading:boolean>>"
+    rows = [(1, [(0, t, False) for t in parts]), (2, [(0, "End.", False), (0, "\t", False), (0, "Another one.", False)]), (3, [])]
+    got = {(r.doc_id, r.ord): r.text for r in S.merged_arrays(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 1): " ".join(parts), (2, 1): "End. \t", (2, 2): "Another one."}
+
+
 def test_fusion_ties_go_to_the_first_run(spark):
     a = spark.createDataFrame([("c", "p1", 1), ("c", "p2", 2)], "claim_id string, passage_id string, rank int")
     b = spark.createDataFrame([("c", "p3", 1), ("c", "p2", 2)], "claim_id string, passage_id string, rank int")
