@@ -6,6 +6,10 @@ sees only what the one before has not found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +17,10 @@ from plinth.functions import text as T
 from plinth.functions.udfs import similarity
 
 
-#: Characters of the runs by which evidence is looked for without white space.
-GRAM = 12
+#: Bytes of the runs by which evidence is looked for without white space.
+GRAM = 16
+#: Hashes of evidence that are sent to the tasks, eight bytes each.
+MOST = 4_000_000
 
 
 def sentence_groups(sents: DataFrame, key: str, most: int = 3) -> DataFrame:
@@ -53,32 +59,114 @@ def candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id") -> Da
     return found.unionByName(unspaced_candidates(e.where(F.size("inner") == 0), sents, key)).distinct()
 
 
-def unspaced_candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
+def unspaced_candidates(evidence: DataFrame, sents: DataFrame, key: str = "doc_id", most: int = MOST) -> DataFrame:
     """(item_id, key) that may hold together whatever the white space: documents that have the rarest run of GRAM
-    characters of the evidence, or all of it if it is shorter; both without white space."""
-    e = evidence.select("item_id", T.unspaced(F.col("evidence")).alias("e")).where("e <> ''")
-    e = e.withColumn("size", F.least(F.length("e"), F.lit(GRAM)))
-    sizes = sorted(r["size"] for r in e.select("size").distinct().collect())  # at most GRAM
+    bytes of the evidence, or all of it if it is shorter; both without white space.
+
+    Runs are told by hashes, so that a few more pairs may come out.  Up to
+    ``most`` hashes of evidence are sent to the tasks, which leave out all other
+    runs of documents before they become rows; more are joined without that.
+    """
+    e = evidence.select("item_id", T.unspaced(F.col("evidence")).alias("t")).where("t <> ''")
+    sizes = sorted(r["size"] for r in e.select(F.least(F.octet_length("t"), F.lit(GRAM)).alias("size")).distinct().collect())  # at most GRAM
+    if not sizes:
+        none = F.lit(None).cast(evidence.schema["item_id"].dataType)
+        return sents.select(none.alias("item_id"), key).where(F.lit(False))
+    grams = _run_hashes(e, "item_id", [GRAM], None, whole=True)
     d = sents.select(key, T.unspaced(F.array_join("sents", "")).alias("t"))
-    out = None
-    for size in sizes:
-        here = e.where(F.col("size") == size).select("item_id", F.explode(_grams("e", size)).alias("gram"))
-        grams = d.select(key, F.explode(_grams("t", size)).alias("gram"))
-        if size == GRAM:
-            often = grams.join(here.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-            # a run that no document has is the rarest
-            rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
-            here = here.join(often, "gram", "left").groupBy("item_id").agg(F.min(rank)["gram"].alias("gram"))
-        met = grams.join(here, "gram").select("item_id", key)
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        return d.select(F.lit(None).cast(e.schema["item_id"].dataType).alias("item_id"), key).where(F.lit(False))
-    return out.distinct()
-
-
-def _grams(text: str, size: int) -> Column:
-    """Distinct runs of so many characters, found in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    few = lambda rows: _few(rows, most)
+    often = _run_hashes(d, key, sizes, few(grams)).join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # a run that no document has is the rarest
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+    rarest = grams.join(often, "gram", "left").groupBy("item_id").agg(F.min(rank).alias("r")).select("item_id", "r.n", "r.gram").where("n > 0").drop("n")
+    rarest = rarest.localCheckpoint()  # a row for an item; hashes are taken from it and joined with it
+    return _run_hashes(d, key, sizes, few(rarest)).join(rarest, "gram").select("item_id", key).distinct()
+
+
+def _few(rows: DataFrame, most: int) -> np.ndarray | None:
+    """The distinct hashes, in order, if there are no more than so many."""
+    found = rows.select("gram").distinct().limit(most + 1).toArrow()["gram"].to_numpy()
+    return np.sort(found) if len(found) <= most else None
+
+
+def _run_hashes(rows: DataFrame, key: str, sizes: list[int], kept: np.ndarray | None, whole: bool = False) -> DataFrame:
+    """key, gram: hashes of the distinct runs of so many bytes of t, those in ``kept`` if given; whole: a shorter text is a run by itself."""
+    sent = None
+    if kept is not None:
+        # a table of the hashes' low bits tells most others at once
+        bits = max(12, min(24, int(len(kept)).bit_length() + 6))
+        table = np.zeros(1 << bits, dtype=bool)
+        table[kept.view(np.uint64) & np.uint64((1 << bits) - 1)] = True
+        sent = rows.sparkSession.sparkContext.broadcast((kept, np.packbits(table), bits))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        if sent is not None:
+            kept, packed, bits = sent.value
+            table = np.unpackbits(packed).view(bool)
+        for batch in batches:
+            at, hashes = [], []
+            for i, text in enumerate(batch.column(1)):
+                data = text.as_buffer()
+                own = [min(len(data), GRAM)] if whole else sizes
+                for size in own:
+                    h = run_hashes(data, size)
+                    if table is not None:
+                        h = h[table[h & np.uint64(len(table) - 1)]]
+                    h = np.unique(h.view(np.int64))
+                    if table is not None and len(h):
+                        h = h[kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] == h]
+                    if len(h):
+                        at.append(np.full(len(h), i))
+                        hashes.append(h)
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(hashes))], [key, "gram"])
+
+    return rows.select(key, "t").mapInArrow(each, f"`{key}` {rows.schema[key].dataType.simpleString()}, gram long")
+
+
+def run_hashes(data: bytes, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` bytes, up to 16; the same for equal runs wherever they stand."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    b = np.frombuffer(data, dtype=np.uint8)
+    h = np.full(n, size, dtype=np.uint64)
+    if size >= 8:
+        # the first and the last eight bytes; together they are the run
+        words = np.ndarray((len(b) - 7,), "<u8", b, 0, (1,))
+        h ^= words[:n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += words[size - 8 : size - 8 + n]
+    else:
+        for j in range(size):
+            h = (h << np.uint64(8)) | b[j : j + n].astype(np.uint64)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def first_group_in(pairs: DataFrame, evidence: DataFrame, sents: DataFrame, key: str, unspaced: bool = False) -> DataFrame:
+    """As first_group, from arrays (key, sents): groups are made of those documents alone that hold the evidence at all."""
+    form = T.unspaced if unspaced else T.squeeze
+    e = evidence.select("item_id", form(F.col("evidence")).alias("e")).where("e <> ''")
+    hit = pairs.distinct().join(e, "item_id").join(sents, key).select("item_id", key, first_run(F.col("sents"), F.col("e"), form).alias("g"))
+    return hit.where("g IS NOT NULL").select("item_id", key, "g.n", "g.first")
+
+
+def first_run(sents: Column, e: Column, form, most: int = 3) -> Column:
+    """n and first of the first run of 1 to ``most`` sentences, the shortest first, that holds e; null if none does."""
+
+    def found(n: int) -> Column:
+        starts = F.when(F.size(sents) >= n, F.sequence(F.lit(1), F.size(sents) - n + 1))
+        # by places, since a slice would read the whole array each time
+        text = lambda i: F.concat_ws(" ", *[F.get(sents, i + (j - 1)) for j in range(n)])
+        holds = F.filter(starts, lambda i: F.contains(form(text(i)), e))
+        return F.try_element_at(F.transform(holds, lambda i: F.struct(F.lit(n).alias("n"), i.alias("first"))), F.lit(1))
+
+    return F.when((e != "") & F.contains(form(F.array_join(sents, " ")), e), F.coalesce(*[found(n) for n in range(1, most + 1)]))
 
 
 def first_group(pairs: DataFrame, evidence: DataFrame, groups: DataFrame, key: str, unspaced: bool = False) -> DataFrame:

@@ -128,7 +128,7 @@ SELECT item_id, doc_id, (g // 1000000)::INTEGER AS n, (g % 1000000)::INTEGER AS
 def evidence_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6, exact: benchmark passages in up to three consecutive sentences."""
     e, sents = _evidence(spark, sf_dir)
-    return V.first_group(V.candidates(e, sents), e, V.sentence_groups(sents, "doc_id"), "doc_id")
+    return V.first_group_in(V.candidates(e, sents), e, sents, "doc_id")
 
 
 @query(
@@ -139,7 +139,7 @@ SELECT item_id, doc_id, (g // 1000000)::INTEGER AS n, (g % 1000000)::INTEGER AS
 def evidence_nospace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6 without white space."""
     e, sents = _evidence(spark, sf_dir)
-    return V.first_group(V.unspaced_candidates(e, sents), e, V.sentence_groups(sents, "doc_id"), "doc_id", unspaced=True)
+    return V.first_group_in(V.unspaced_candidates(e, sents), e, sents, "doc_id", unspaced=True)
 
 
 @query(

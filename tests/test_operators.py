@@ -160,6 +160,32 @@ def test_evidence_is_found_whatever_the_spacing(spark):
     assert V.unspaced_candidates(e.where("item_id > 99"), sents).count() == 0
 
 
+def test_evidence_in_arrays_equals_groups(spark):
+    """The search in arrays finds what rows of groups give, whether or not hashes are sent ahead, and for runs of every length."""
+    from plinth.plans.documents import evidence_nospace
+    from tests.oracle import SF
+
+    words = ["ab", "c", "def", "한국", "é"]
+    rng = random.Random(4)
+    docs = [(d, [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) + "." for _ in range(rng.randint(0, 6))]) for d in range(40)]
+    items = [(0, ""), (1, None), (2, "zz"), (3, "é")]
+    for i, (_, s) in enumerate(docs):
+        t = " ".join(s)
+        a = rng.randint(0, max(len(t) - 1, 0))
+        items.append((4 + i, t[a : a + rng.randint(1, 40)].strip()))
+    sents = spark.createDataFrame(docs, "doc_id int, sents array<string>")
+    e = spark.createDataFrame(items, "item_id int, evidence string")
+    groups = V.sentence_groups(sents, "doc_id")
+    every = e.select("item_id").crossJoin(sents.select("doc_id"))
+    for unspaced in (False, True):
+        want = sorted(map(tuple, V.first_group(every, e, groups, "doc_id", unspaced=unspaced).collect()))
+        for pairs in (every, V.unspaced_candidates(e, sents), V.unspaced_candidates(e, sents, most=0)):
+            assert sorted(map(tuple, V.first_group_in(pairs, e, sents, "doc_id", unspaced=unspaced).collect())) == want and len(want) > 40
+    # no rows of groups or of characters of documents any more
+    plan = evidence_nospace(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_evidence_of_the_review(spark):
     """Spacing that differs at the longest word, and evidence of two words."""
     docs = [(1, ["alpha beta gamma delta omega"]), (2, ["alpha betagamma delta omega"])]
