@@ -122,6 +122,22 @@ def test_fusion_ties_go_to_the_first_run(spark):
     assert [r.passage_id for r in R.fused([(a, 0.3), (b, 0.7)]).orderBy("rank").collect()] == ["p2", "p3", "p1"]
 
 
+def test_nearest_in_blocks_equals_all_pairs(spark):
+    """Blocks of few rows, of one scope and with many equal vectors, give what all pairs ranked give."""
+    rng = random.Random(8)
+    vecs = [[rng.choice([0.0, 0.6, 0.8, -0.6]) for _ in range(4)] for _ in range(120)]
+    rows = [(i % 7 // 5, f"v{i}", i, v) for i, v in enumerate(vecs)] + [(2, "v900", 900, vecs[0]), (3, "v901", 901, vecs[1]), (3, "v902", 902, vecs[1])]
+    p = spark.createDataFrame(rows, "label int, passage_id string, ord long, vec array<float>")
+    c = p.where("ord % 3 = 0 OR ord = 901").select("label", F.replace("passage_id", F.lit("v"), F.lit("q")).alias("claim_id"), "ord", "vec")
+    scores = R.cosine(c, p, "label").where(F.substr("claim_id", F.lit(2)) != F.substr("passage_id", F.lit(2)))
+    want = sorted(map(tuple, R.ranked(scores, 5).collect()))
+    for block in (1, 4, 1024):
+        got = R.nearest(c, p, "label", 5, block=block)
+        assert sorted(map(tuple, got.select("claim_id", "passage_id", "ord", "score", "rank").collect())) == want and len(want) > 190
+    # a scope is dealt over many tasks
+    assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_zero_scores_are_ranked(spark):
     claims = spark.createDataFrame([(1, "c", "apple")], "s int, claim_id string, claim_text string")
     passages = spark.createDataFrame([(1, "a", 1, "pear"), (1, "b", 2, "apple pie"), (2, "x", 1, "apple")], "s int, passage_id string, ord int, text string")
