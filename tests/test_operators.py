@@ -138,6 +138,14 @@ def test_nearest_in_blocks_equals_all_pairs(spark):
     assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_feature_vectors_take_candidates_in_blocks(spark):
+    """The candidates of feature_vector come by the step of dense_label_top5, which holds no whole label in a task."""
+    from plinth.plans.retrieval import feature_vector
+    from tests.oracle import SF
+
+    assert "CoGroup" in feature_vector(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_zero_scores_are_ranked(spark):
     claims = spark.createDataFrame([(1, "c", "apple")], "s int, claim_id string, claim_text string")
     passages = spark.createDataFrame([(1, "a", 1, "pear"), (1, "b", 2, "apple pie"), (2, "x", 1, "apple")], "s int, passage_id string, ord int, text string")
